@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import decontaminate, quality_rules
+from sigloom.llm import decontaminate, quality_rules, simhash
 
-_MODULES = [quality_rules, decontaminate]
+_MODULES = [quality_rules, simhash, decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
