@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import decontaminate, quality_rules, simhash
+from sigloom.llm import decontaminate, mixing, quality_rules, simhash
 
-_MODULES = [quality_rules, simhash, decontaminate]
+_MODULES = [quality_rules, simhash, mixing, decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
