@@ -15,7 +15,7 @@ blocks only. The driver sees 65 rows of each bisection round.
 Defined results: null text has no tokens; null is a source of its own; a source
 without tokens gets no budget and no rows; a null doc_id is hashed as an empty
 string; repeated rows are mixed one by one; an empty table gives no rows; other
-columns pass through `realise` unchanged (its own are prefixed with mix_).
+columns pass through `realise` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigloom.llm.names import sealed
 from sigloom.llm.store import Kept
 
 ENTROPY_RATIO = 0.97  # of the entropy of equal weights
@@ -90,7 +91,15 @@ def realise(docs: DataFrame, budget: int | None = None, entropy_ratio: float = E
     columns and mix_tokens, mix_pass (from 0), mix_block, mix_order. Sorting by
     mix_order gives the training order: block by block, each pass permuted anew.
     budget: tokens of the whole mixture; the corpus' own number if None."""
-    own = docs.withColumn("mix_tokens", token_count()).withColumn("mix_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    columns = [c.lower() for c in docs.columns]
+    inner_docs, restored = sealed(docs)
+    named = {c: f"in{columns.index(c)}" for c in ("doc_id", "source", "text")}
+    own = inner_docs.select(
+        "*",
+        F.col(named["doc_id"]).alias("doc_id"),
+        token_count(named["text"]).alias("mix_tokens"),
+        F.coalesce(F.concat(F.lit("s"), F.col(named["source"])), F.lit("n")).alias("mix_key"),
+    )
     sources = Kept(source_tokens(own.select("mix_key", "mix_tokens")), "sources").df
     total, n = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     budget = total if budget is None else budget
@@ -135,7 +144,7 @@ def realise(docs: DataFrame, budget: int | None = None, entropy_ratio: float = E
     out = blocked.join(bounds, ["mix_key", "mix_block"]).withColumn("_passes", passes).filter("_passes > 0")
     out = out.withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1)))
     key = F.concat_ws("-", F.md5(_block_key(F.col("mix_pass"))), F.md5(F.concat_ws(":", F.lit(SEED), F.lit("o"), F.col("mix_pass"), id_text)))
-    return out.withColumn("mix_order", key).select(*docs.columns, "mix_tokens", "mix_pass", "mix_block", "mix_order")
+    return out.withColumn("mix_order", key).select(*restored, "mix_tokens", "mix_pass", "mix_block", "mix_order")
 
 
 def _block_key(n: Column) -> Column:

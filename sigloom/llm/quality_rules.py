@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.llm.names import sealed
+
 BLANK_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 NOT_BLANK = "[^ \\t\\n\\x0B\\f\\r]"
 SYMBOLS = "#*$%&|<>"
@@ -94,13 +96,25 @@ def _measures(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def annotate(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, base measures, base_failed, kept; one row per input row."""
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_src"))
+    return _judged(docs.select(F.col("doc_id").alias("in0"), F.col("text").alias("_src")), rules).withColumnRenamed("in0", "doc_id")
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that pass, columns unchanged."""
+    inner, restored = sealed(docs)
+    text = f"in{[c.lower() for c in docs.columns].index('text')}"
+    return _judged(inner.withColumn("_src", F.col(text)), rules).filter("kept").select(*restored)
+
+
+def _judged(src: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The `in` columns, base measures and verdict of rows with their text in _src."""
+    passed = [c for c in src.columns if c != "_src"]
     df = _measures(src, "_src")
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
     df = df.select(
-        "doc_id",
+        *passed,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         _chars_of(F.col("_t"), f"[^{SYMBOLS}]+").cast("long").alias("n_symbols"),
@@ -136,7 +150,7 @@ def annotate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules:
             good = good & (m <= r.high)
         ok = ok & F.coalesce(F.when(n >= r.min_words, good), F.lit(True))
     return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *passed, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), (~base_failed & ok).alias("kept"),
     )
 

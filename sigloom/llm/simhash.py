@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from sigloom.llm import arrays as A
 from sigloom.llm.components import roots
+from sigloom.llm.names import fresh
 from sigloom.llm.store import Kept, partitions_for
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -70,8 +71,8 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def _with_fingerprint(names: list[str]):
-    """The named columns of each row and its fingerprint as `_fp`."""
+def _with_fingerprint(names: list[str], own: str):
+    """The named columns of each row and its fingerprint as `own`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,14 +80,14 @@ def _with_fingerprint(names: list[str]):
             for first, last, buf, offs in A.pieces(batch):
                 whole = buf.tobytes()
                 fps += [fingerprint(whole[offs[k] : offs[k + 1]]) for k in range(last - first)]
-            yield batch.select(names).append_column("_fp", pa.array(np.array(fps, np.uint64).view(np.int64)))
+            yield batch.select(names).append_column(own, pa.array(np.array(fps, np.uint64).view(np.int64)))
 
     return run
 
 
-def fingerprints(docs: DataFrame, names: list[str]) -> DataFrame:
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("_fp", T.LongType())])
-    return docs.mapInArrow(_with_fingerprint(names), schema)
+def fingerprints(docs: DataFrame, names: list[str], own: str = "fp") -> DataFrame:
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(own, T.LongType())])
+    return docs.mapInArrow(_with_fingerprint(names, own), schema)
 
 
 def _spanning(fps: np.ndarray, start: int) -> tuple[list, list]:
@@ -210,7 +211,7 @@ def link_table(fps: DataFrame) -> Kept:
 def groups(docs: DataFrame) -> tuple[Kept, DataFrame]:
     """The documents' fingerprints (doc_id, fp), written, and (fp, root,
     component_id) for each distinct fingerprint."""
-    sig = Kept(fingerprints(docs.select("doc_id", "text"), ["doc_id"]).withColumnRenamed("_fp", "fp"), "fingerprints")
+    sig = Kept(fingerprints(docs.select("doc_id", "text"), ["doc_id"]), "fingerprints")
     fps = sig.df.groupBy("fp").agg(F.min("doc_id").alias("low"))
     found = link_table(fps.select("fp"))
     star = roots(found.df.filter("b IS NOT NULL").select("a", "b"))
@@ -235,9 +236,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = docs.join(winners, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     if sig.df.filter("doc_id IS NULL").isEmpty():
         return kept
-    marked = fingerprints(docs.filter("doc_id IS NULL"), docs.columns)
-    root = comp.filter("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    return kept.unionByName(marked.join(root, "_fp").dropDuplicates(["_root"]).drop("_fp", "_root"))
+    fp, root = fresh(docs, "fp"), fresh(docs, "root")
+    marked = fingerprints(docs.filter("doc_id IS NULL"), docs.columns, fp)
+    alone = comp.filter("component_id IS NULL").select(F.col("fp").alias(fp), F.col("root").alias(root))
+    return kept.unionByName(marked.join(alone, fp).dropDuplicates([root]).drop(fp, root))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
