@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import decontaminate, mixing, pii, quality_rules, simhash
+from sigloom.llm import decontaminate, mixing, pii, quality_rules, simhash, toxicity
 
-_MODULES = [quality_rules, simhash, pii, mixing, decontaminate]
+_MODULES = [toxicity, quality_rules, simhash, pii, mixing, decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
