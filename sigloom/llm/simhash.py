@@ -25,6 +25,7 @@ null); a text's repeated rows are one fingerprint; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -111,9 +112,9 @@ def _spanning(fps: np.ndarray, start: int) -> tuple[list, list]:
     return left, to
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_links(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
     """Rows (k, part, fp) sorted by (k, part): links (fp, other) of each bucket;
-    of a bucket above BUCKET rows, its rows themselves (hot set)."""
+    of a bucket above the size, its rows themselves."""
 
     def out(a, b, k=None, part=None):
         n = len(a)
@@ -143,7 +144,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 good[mine] &= np.bitwise_count(x[mine] & mask) <= most
         a, b = [fp[two[good]]], [fp[two[good] + 1]]
         for s, e in zip(begin[size > 2].tolist(), end[size > 2].tolist()):
-            if e - s > BUCKET:
+            if e - s > bucket:
                 yield out(fp[s:e], None, k[s], part[s])
                 continue
             p, q = _spanning(fp[s:e], KEYS[k[s]][0])
@@ -157,7 +158,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         held = tuple(c[tail:] for c in held)
         if hot is not None and (held[0][0], held[1][0]) != hot:
             hot = None
-        if len(held[0]) > BUCKET:  # it goes on, but what is here need not be kept
+        if len(held[0]) > bucket:  # it goes on, but what is here need not be kept
             hot = (held[0][0], held[1][0])
             yield out(held[2][:-1], None, *hot)
             held = tuple(c[-1:] for c in held)
@@ -172,30 +173,29 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from runs(True)
 
 
-def _chunk_links(key, table: pa.Table) -> pa.Table:
+def _chunk_links(key, table):
     """Links within one pair of chunks of a hot bucket."""
     fps = np.unique(table.column("a").to_numpy().view(np.uint64))
     a, b = _spanning(fps, KEYS[key[0].as_py()][0])
     return pa.table({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b) over distinct fingerprints `fp`: enough links at distance 3 or less
     to connect all that are connected."""
     n = partitions_for(fps, (16 << 20) // len(KEYS))
     masks = F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for _, m in KEYS))
     dealt = fps.select("fp", F.posexplode(masks).alias("k", "part")).repartition(n, "k", "part").sortWithinPartitions("k", "part")
-    found = dealt.select("k", "part", "fp").mapInArrow(_bucket_links, "a long, b long, k int, part long")
-    return found
+    return dealt.select("k", "part", "fp").mapInArrow(partial(_bucket_links, bucket=bucket), "a long, b long, k int, part long")
 
 
-def link_table(fps: DataFrame) -> Kept:
-    """links(), written, with the buckets above BUCKET dealt out as chunk pairs."""
-    first = Kept(links(fps), "links")
+def link_table(fps: DataFrame, bucket: int = BUCKET) -> Kept:
+    """links(), written, with the buckets above the size dealt out as chunk pairs."""
+    first = Kept(links(fps, bucket), "links")
     hot = first.df.filter("b IS NULL").select("k", "part", "a")
     if hot.isEmpty():
         return first
-    size = hot.groupBy("k", "part").agg((F.floor(F.count("*") / BUCKET) + 1).cast("int").alias("chunks"))
+    size = hot.groupBy("k", "part").agg((F.floor(F.count("*") / bucket) + 1).cast("int").alias("chunks"))
     dealt = (
         hot.join(size, ["k", "part"])
         .withColumn("c", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))

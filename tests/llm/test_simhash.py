@@ -77,9 +77,8 @@ def test_empty_table(spark):
 
 
 @pytest.mark.parametrize("bucket", [4, 2048])
-def test_links_keep_every_connection(spark, monkeypatch, bucket):
+def test_links_keep_every_connection(spark, bucket):
     """A dense cloud, chains, and noise; a small bucket size forces chunk pairs."""
-    monkeypatch.setattr(S, "BUCKET", bucket)
     r = random.Random(5)
     fps = set()
     for _ in range(6):
@@ -91,7 +90,8 @@ def test_links_keep_every_connection(spark, monkeypatch, bucket):
             fps.add(f)
     fps |= {r.getrandbits(64) for _ in range(100)}
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    table = S.link_table(df)
+    table = S.link_table(df, bucket)
+    assert (bucket == 4) == (not S.links(df, bucket).filter('b IS NULL').isEmpty())
     from sigloom.llm.components import roots
 
     pairs = [(x.a, x.b) for x in table.df.filter("b IS NOT NULL").collect()]
