@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import decontaminate, fm_dedup, mixing, pii, quality_model, quality_rules, simhash, suffix_dedup, toxicity
+from sigloom.llm import decontaminate, fm_dedup, licenses, mixing, pii, quality_model, quality_rules, simhash, suffix_dedup, toxicity
 
-_MODULES = [toxicity, fm_dedup, quality_model, suffix_dedup, quality_rules, simhash, pii, mixing, decontaminate]
+_MODULES = [toxicity, fm_dedup, licenses, quality_model, suffix_dedup, quality_rules, simhash, pii, mixing, decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
