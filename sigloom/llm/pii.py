@@ -183,7 +183,7 @@ def disclosing(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS)
     n_blocks = max(1, -(-terms.count() // BLOCK_TERMS))
     counts = None
     for b in range(n_blocks):
-        part = {r.term for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == b).toLocalIterator()}
+        part = {r.term for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == b).collect()}
         if not part:
             continue
         one = docs.mapInArrow(_document_frequencies(spark.sparkContext.broadcast(part)), "term string, df long")
