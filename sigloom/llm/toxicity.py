@@ -159,6 +159,8 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarra
     if not len(docs) or toxic.all() or not toxic.any():
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(max(share, 1e-17) / max(1 - share, 1e-17))))
     keys, inverse = np.unique(np.concatenate(docs), return_inverse=True)
+    if not len(keys):
+        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(share / (1 - share))))
     doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     n1, n = np.bincount(inverse, toxic[doc], len(keys)), np.bincount(inverse, minlength=len(keys))
     worth = _evidence(n1, n, toxic.sum(), len(toxic))
