@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from sigloom.llm import arrays as A
 from sigloom.llm import repeats as R
 from sigloom.llm.fm_index import FMIndex
-from sigloom.llm.store import Kept
 
 LENGTH, GRAM = 35, 8
 SHARD_BYTES = 3_000_000  # of 8-byte words
@@ -95,18 +94,17 @@ def _cut_out(length: int):
     return run
 
 
-def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = R.HOT) -> DataFrame:
     """(k, t, start, n): all runs of windows that occur elsewhere too."""
     how = shape(length, gram)
     runs = R.gather(docs, how).df
-    compared = Kept(R.contexts(docs, runs, how, False).mapInArrow(_compare(length), R.FOUND_SCHEMA), "found").df
-    return runs.filter("anchor IS NULL").select("k", "t", "start", "n").union(compared)
+    return runs.filter("anchor IS NULL").select("k", "t", "start", "n").union(R.compared(docs, runs, how, False, _compare(length), hot))
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = R.HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return R.marked(docs, removed_runs(docs, length, gram)).mapInArrow(_cut_out(length), schema)
+    return R.marked(docs, removed_runs(docs, length, gram, hot)).mapInArrow(_cut_out(length), schema)
 
 
 def op2_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

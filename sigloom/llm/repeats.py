@@ -16,7 +16,8 @@ context, known by its first window, their number and a hash of all its content.
    representative of each content is asked for.
 3. `contexts` cuts the representatives' content out of their documents and deals
    it out by anchor again; the caller's index (suffix array, FM-index) compares
-   the windows within a shard. Shards are bounded by distinct content.
+   the windows within a shard. Anchors with very many contexts are compared by
+   window hashes instead (see `compared`).
 4. `marked` joins all found window runs back to the documents.
 
 A document is told by its id and a hash of its text, so rows with one id and
@@ -106,6 +107,17 @@ def _repeated(e: np.ndarray) -> np.ndarray:
     return same
 
 
+def _once(e: np.ndarray) -> np.ndarray:
+    """Of entries in order, those of repeated rows of a document once."""
+    if not len(e):
+        return e
+    again = _repeated(e)
+    again[1:] &= (e["doc"][1:] == e["doc"][:-1]) & (e["text"][1:] == e["text"][:-1]) & (e["start"][1:] == e["start"][:-1])
+    first = ~again
+    e["many"] = _spread(e["many"] > 0, first)
+    return e[first]
+
+
 def _in_groups(same: np.ndarray) -> np.ndarray:
     """Mask of the entries that equal a neighbour."""
     both = same.copy()
@@ -123,7 +135,7 @@ def _rows(rows: list, names=("bucket", "kind", "blob")) -> pa.RecordBatch:
 
 def _deal(e: np.ndarray, shards: int, keep_first: bool) -> pa.RecordBatch:
     """One entry of each context, by shard, and the runs that are settled here."""
-    e = e[_order(e)]
+    e = _once(e[_order(e)])
     same = _repeated(e)
     settled = e[same if keep_first else _in_groups(same)]
     many = np.zeros(len(e), dtype=bool)
@@ -197,7 +209,7 @@ def _settle(shape: Shape):
         again = np.zeros(len(e), dtype=bool)
         again[1:] = e["anchor"][1:] == e["anchor"][:-1]
         e = e[_in_groups(again)]
-        e = e[_order(e)]
+        e = _once(e[_order(e)])
         same = _repeated(e)
         yield _runs(e[same if shape.keep_first else _in_groups(same)], False)
         many = np.zeros(len(e), dtype=bool)
@@ -257,12 +269,61 @@ def _cut(shape: Shape, as_bytes: bool):
     return run
 
 
-def contexts(docs: DataFrame, runs: DataFrame, shape: Shape, as_bytes: bool) -> DataFrame:
+def _cut_windows(shape: Shape):
+    """Two hashes of each window of the asked contexts, and its place."""
+
+    def run(batches):
+        for batch in batches:
+            asks, ks, ts = batch.column("asks"), batch.column("k").to_pylist(), batch.column("t").to_pylist()
+            for first, last, buf, offs in A.pieces(batch):
+                values, rows = shape.items(buf, offs)
+                one = A.window_hash(A.prefix_sums(values, 2), shape.length, 2).view(np.int64)
+                two = A.window_hash(A.prefix_sums(A.mix(values ^ A.U64(0x51ED270B0F3A9D27)), 3), shape.length, 3).view(np.int64)
+                for d in range(first, last):
+                    start = np.concatenate([x["start"] + np.arange(x["n"]) for x in asks[d].as_py()])
+                    at = rows[d - first] + start
+                    n = len(at)
+                    cols = [pa.array(one[at]), pa.array(two[at]), pa.array(np.full(n, ks[d])), pa.array(np.full(n, ts[d], np.int32)), pa.array(start.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, ["w1", "w2", "k", "t", "start"])
+
+    return run
+
+
+#: Anchors with more contexts than this are compared window by window instead.
+HOT = 2000
+
+
+def _asked(docs: DataFrame, asks: DataFrame) -> DataFrame:
+    lists = asks.groupBy("k", "t").agg(F.collect_list(F.struct("start", "n", "anchor", "many")).alias("asks"))
+    return keyed(docs).join(lists, ["k", "t"])
+
+
+def compared(docs: DataFrame, runs: DataFrame, shape: Shape, as_bytes: bool, compare: Callable, hot: int = HOT) -> DataFrame:
+    """FOUND_SCHEMA runs of the representatives' windows. `compare` is the index of
+    a shard. An anchor with more than `hot` contexts (the edge of a very common
+    passage) would make one shard large; its windows are grouped by two 64-bit
+    hashes instead, pre-aggregated before the shuffle, which is exact as well and
+    has no largest group."""
+    asks = runs.filter("anchor IS NOT NULL")
+    often = Kept(asks.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"), "hot").df
+    few = asks.join(often, "anchor", "left_anti")
+    found = Kept(contexts(docs, few, shape, as_bytes).mapInArrow(compare, FOUND_SCHEMA), "found").df
+    if often.isEmpty():
+        return found
+    windows = Kept(_asked(docs, asks.join(often, "anchor", "left_semi")).mapInArrow(_cut_windows(shape), "w1 long, w2 long, k long, t int, start long"), "windows").df
+    place = F.struct("k", "t", "start")
+    groups = windows.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").drop("hi")
+    hits = windows.join(groups, ["w1", "w2"])
+    if shape.keep_first:
+        hits = hits.filter(place != F.col("lo"))
+    return found.union(hits.select("k", "t", "start", F.lit(1).alias("n")))
+
+
+def contexts(docs: DataFrame, asks: DataFrame, shape: Shape, as_bytes: bool) -> DataFrame:
     """Step 3: CONTEXT_SCHEMA rows, dealt out by anchor and in its order."""
-    asked = runs.filter("anchor IS NOT NULL").groupBy("k", "t").agg(F.collect_list(F.struct("start", "n", "anchor", "many")).alias("asks"))
-    found = keyed(docs).join(asked, ["k", "t"]).mapInArrow(_cut(shape, as_bytes), CONTEXT_SCHEMA)
     shards = partitions_for(docs, 24 << 20)
-    return found.repartition(shards, "anchor").sortWithinPartitions("anchor", "k", "t", "start")
+    cut = _asked(docs, asks).mapInArrow(_cut(shape, as_bytes), CONTEXT_SCHEMA)
+    return cut.repartition(shards, "anchor").sortWithinPartitions("anchor", "k", "t", "start")
 
 
 def by_shard(batches, limit: int):

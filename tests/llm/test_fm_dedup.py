@@ -49,6 +49,7 @@ def test_query_equals_brute_force(spark, sf):
     assert got(D.op2_fm_dedup(spark, sf)) == slow(rows, 35)
 
 
+LENGTH = D.LENGTH
 SCHEMA = "doc_id long, text string, start string, runs int"
 
 
@@ -64,5 +65,19 @@ def test_edges(spark):
     assert got(D.deduplicate(df)) == want
 
 
+def test_hot_anchors_and_repeated_rows(spark):
+    """A passage in many documents, each with surroundings of its own; some rows
+    come twice. With few contexts allowed, its edges are compared by windows."""
+    r = random.Random(9)
+    own = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    passage = own(60)
+    rows = [(i, f"{own(40)} {passage} {own(40)}", "s", 1) for i in range(40)] + [(50, own(120), "s", 1)]
+    rows += [rows[3], rows[-1]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = slow([x[:2] for x in rows], LENGTH)
+    assert got(D.deduplicate(df)) == want
+    assert got(D.deduplicate(df, hot=5)) == want
+
+
 def test_empty_table(spark):
     assert D.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
