@@ -3,6 +3,7 @@ these rules has a default that could pass for somebody else's."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +108,23 @@ def holding_positions(states: DataFrame, hold: int) -> DataFrame:
         .select("key", F.explode("days").alias("d"))
         .select("key", "d.*")
     )
+
+
+def holding_positions_long(states: DataFrame, hold: int) -> DataFrame:
+    """holding_positions for long series: linear in a key's days, where the fold
+    above copies its result at each step. One key's series is in memory."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt")
+        position = age = 0
+        positions, ages = [], []
+        for state in pdf["state"].fillna(0).astype(int):
+            if position and age < hold:
+                age += 1
+            else:
+                position, age = state, int(state != 0)
+            positions.append(position)
+            ages.append(age)
+        return pd.DataFrame({"key": pdf["key"], "dt": pdf["dt"], "position": positions, "age": ages})
+
+    return states.select("key", "dt", "state").groupBy("key").applyInPandas(fold, "key string, dt date, position int, age int")

@@ -132,3 +132,31 @@ def interval_join(spark, sf_dir):
     b = e.filter("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", "ts", F.floor(at / step).alias("bucket"))
     near = (F.col("ts") >= F.col("from_ts")) & (F.col("ts") <= F.col("from_ts") + F.expr("INTERVAL 30 MINUTES"))
     return a.join(b, ["user_id", "bucket"]).filter(near).select("error_id", "click_id")
+
+
+@register("udf_scalar", "SELECT c_custkey, round(c_acctbal * 1.1, 6) AS raised FROM customer")
+def udf_scalar(spark, sf_dir):
+    """A vectorised scalar function."""
+    raised = F.pandas_udf(lambda s: s * 1.1, "double", F.PandasUDFType.SCALAR)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(raised("c_acctbal"), 6).alias("raised"))
+
+
+@register("udf_grouped", "SELECT c_nationkey, round(max(c_acctbal) - min(c_acctbal), 6) AS spread FROM customer GROUP BY c_nationkey")
+def udf_grouped(spark, sf_dir):
+    """A vectorised aggregate function."""
+    spread = F.pandas_udf(lambda s: float(s.max() - s.min()), "double", F.PandasUDFType.GROUPED_AGG)
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(spread("c_acctbal"), 6).alias("spread"))
+
+
+@register("udtf_words", "SELECT p_partkey, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part)")
+def udtf_words(spark, sf_dir):
+    """A table function, called laterally."""
+
+    @F.udtf(returnType="word string")
+    class Words:
+        def eval(self, text: str):
+            for word in text.split(" "):
+                yield (word,)
+
+    spark.udtf.register("sigloom_words", Words)
+    return spark.sql("SELECT p_partkey, w.word FROM {part}, LATERAL sigloom_words(p_name) w", part=table(spark, sf_dir, "part"))

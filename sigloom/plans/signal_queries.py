@@ -8,7 +8,7 @@ from sigloom.functions.dates import parse_date
 from sigloom.operators import signals as S
 from sigloom.operators import tables as O
 from sigloom.plans.catalog import register
-from sigloom.sources.tables import table
+from sigloom.sources.tables import table, table_as_of
 
 LO, HI, FALL, RISE, HOLD = -0.1, 0.1, -0.3, 0.5, 3
 
@@ -191,3 +191,26 @@ def drawdown(spark, sf_dir):
 
     w = Window.partitionBy("event_type").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") - F.max("value").over(w), 6).alias("drawdown"))
+
+
+@register("asof_ingest", "SELECT event_type, count(*) AS n, max(CAST(ts AS DATE)) AS last_day FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY event_type")
+def asof_ingest(spark, sf_dir):
+    e = table_as_of(spark, sf_dir, "events", "ts", "2024-01-15")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.max(F.to_date("ts")).alias("last_day"))
+
+
+_DAILY_ORDERS = "SELECT o_orderpriority AS key, CAST(o_orderdate AS DATE) AS dt, CAST(CASE WHEN count(*) % 3 = 2 THEN -1 ELSE count(*) % 3 END AS INTEGER) AS state FROM orders GROUP BY 1, 2"
+
+
+@register("holding_period_long", f"""WITH RECURSIVE s AS MATERIALIZED (SELECT key, dt, state, row_number() OVER (PARTITION BY key ORDER BY dt) AS i FROM ({_DAILY_ORDERS})),
+f AS (SELECT key, dt, i, state AS position, CAST(CASE WHEN state <> 0 THEN 1 ELSE 0 END AS INTEGER) AS age FROM s WHERE i = 1
+  UNION ALL SELECT s.key, s.dt, s.i,
+    CAST(CASE WHEN f.position <> 0 AND f.age < {HOLD} THEN f.position ELSE s.state END AS INTEGER),
+    CAST(CASE WHEN f.position <> 0 AND f.age < {HOLD} THEN f.age + 1 WHEN s.state <> 0 THEN 1 ELSE 0 END AS INTEGER)
+  FROM f JOIN s ON s.key = f.key AND s.i = f.i + 1)
+SELECT key, dt, position, age FROM f""")
+def holding_period_long(spark, sf_dir):
+    """Some 1,700 days a key: made-up states from the daily number of orders."""
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("key"), F.to_date("o_orderdate").alias("dt")).agg(F.count("*").alias("n"))
+    state = F.when(F.col("n") % 3 == 2, -1).otherwise(F.col("n") % 3).cast("int")
+    return S.holding_positions_long(n.withColumn("state", state), HOLD)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +26,8 @@ def write_result(df: DataFrame, out_dir: str, run_id: str, name: str) -> str:
 def read_result(spark: SparkSession, out_dir: str, run_id: str, name: str) -> DataFrame:
     """Read back what write_result wrote."""
     return spark.read.parquet(result_path(out_dir, run_id, name))
+
+
+def table_as_of(spark: SparkSession, sf_dir: str, name: str, ts: str, last_day: str) -> DataFrame:
+    """Rows up to and including a day; the bound is pushed down to the scan."""
+    return table(spark, sf_dir, name).filter(F.col(ts) < F.date_add(F.lit(last_day).cast("date"), 1).cast("timestamp_ntz"))

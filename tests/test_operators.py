@@ -92,3 +92,21 @@ def test_plans_prune_and_push(spark):
 
     plan = catalog.queries()["filter_project"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "o_orderdate" not in plan
+
+
+def test_long_fold_equals_short_fold(spark):
+    r = random.Random(2)
+    df = states(spark, [r.choice([None, -1, 0, 1]) for _ in range(300)])
+    assert S.holding_positions(df, 3).exceptAll(S.holding_positions_long(df, 3)).isEmpty()
+
+
+def test_package_runs_in_order_and_is_checked(spark, tmp_path, sf):
+    from sigloom.plans import catalog, package
+
+    q, seen = catalog.queries(), []
+    steps = [(n, lambda s, d, n=n: seen.append(n) or q[n](s, d)) for n in ("daily_panel", "three_state")]
+    package.run_package(spark, sf, str(tmp_path), "golden", steps)
+    package.run_package(spark, sf, str(tmp_path), "today", steps)
+    assert seen == ["daily_panel", "three_state"] * 2
+    report = package.check_package(spark, str(tmp_path), "today", "golden", {n: ["key", "dt"] for n in ("daily_panel", "three_state")})
+    assert {(r["table"], r["differences"], r["verdict"]) for r in report.collect()} == {("daily_panel", 0, "PASS"), ("three_state", 0, "PASS")}
