@@ -69,10 +69,9 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: st
 def densify(panel: DataFrame, key: str, day: str, value: str) -> DataFrame:
     """Every key on every day from the first to the last of the table; value is
     carried forward."""
-    bounds = panel.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    days = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias(day))
-    # A calendar grows with time, not with the data: ten years are 3,653 rows.
-    grid = panel.select(key).distinct().crossJoin(F.broadcast(days))
+    lo, hi = panel.agg(F.min(day), F.max(day)).first()
+    days = F.sequence(F.lit(lo).cast("date"), F.lit(hi).cast("date"), F.expr("interval 1 day"))
+    grid = panel.select(key).distinct().withColumn(day, F.explode(days))
     w = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(panel, [key, day], "left").withColumn(value, F.last(value, ignorenulls=True).over(w))
 
