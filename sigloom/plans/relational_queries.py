@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sigloom.operators import tables as O
@@ -137,14 +138,22 @@ def interval_join(spark, sf_dir):
 @register("udf_scalar", "SELECT c_custkey, round(c_acctbal * 1.1, 6) AS raised FROM customer")
 def udf_scalar(spark, sf_dir):
     """A vectorised scalar function."""
-    raised = F.pandas_udf(lambda s: s * 1.1, "double", F.PandasUDFType.SCALAR)
+
+    @F.pandas_udf("double")
+    def raised(s: pd.Series) -> pd.Series:
+        return s * 1.1
+
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(raised("c_acctbal"), 6).alias("raised"))
 
 
 @register("udf_grouped", "SELECT c_nationkey, round(max(c_acctbal) - min(c_acctbal), 6) AS spread FROM customer GROUP BY c_nationkey")
 def udf_grouped(spark, sf_dir):
     """A vectorised aggregate function."""
-    spread = F.pandas_udf(lambda s: float(s.max() - s.min()), "double", F.PandasUDFType.GROUPED_AGG)
+
+    @F.pandas_udf("double")
+    def spread(s: pd.Series) -> float:
+        return float(s.max() - s.min())
+
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(spread("c_acctbal"), 6).alias("spread"))
 
 
