@@ -32,3 +32,9 @@ def stream_totals(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     """Sessions that the watermark has closed: fewer than in batch."""
     return S.run_to_end(S.user_sessions(S.event_stream(spark, sf_dir)), "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register("stream_join", """SELECT a.event_id AS error_id, b.event_id AS click_id FROM events a JOIN events b ON a.user_id = b.user_id
+  AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 30 MINUTE WHERE a.event_type = 'error' AND b.event_type = 'click'""")
+def stream_join(spark, sf_dir):
+    return S.run_to_end(S.clicks_after_errors(S.event_stream(spark, sf_dir)), "append")

@@ -62,3 +62,11 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
 def append_to_table(stream: DataFrame, path: str, checkpoint: str):
     """A Parquet sink with its own checkpoint: exactly once over restarts."""
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def clicks_after_errors(events: DataFrame, lateness: str = "1 hour", within: str = "30 minutes") -> DataFrame:
+    """Stream-stream join on user and time; watermarks on both sides bound the state."""
+    errors = events.filter("event_type = 'error'").select(F.col("event_id").alias("error_id"), "user_id", F.col("ts").alias("error_ts")).withWatermark("error_ts", lateness)
+    clicks = events.filter("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("by_user"), "ts").withWatermark("ts", lateness)
+    near = (F.col("user_id") == F.col("by_user")) & (F.col("ts") >= F.col("error_ts")) & (F.col("ts") <= F.col("error_ts") + F.expr(f"INTERVAL {within}"))
+    return errors.join(clicks, near).select("error_id", "click_id")
