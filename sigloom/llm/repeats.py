@@ -142,11 +142,14 @@ def _deal(e: np.ndarray, shards: int, keep_first: bool) -> pa.RecordBatch:
     many[:-1] = same[1:]
     e["many"] |= many
     e = e[~same]
-    bucket = ((e["anchor"] >> A.U64(32)) * A.U64(shards) >> A.U64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(bucket)) + 1  # anchors are in order, so buckets are
+    # Anchors are minima, so their own values crowd at the low end; mixed they don't.
+    bucket = ((A.mix(e["anchor"]) >> A.U64(32)) * A.U64(shards) >> A.U64(32)).astype(np.int64)
+    turn = np.argsort(bucket, kind="stable")
+    e, bucket = e[turn], bucket[turn]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
     out = [_blob(0, int(bucket[a]), e[a:b]) for a, b in zip([0, *cuts], [*cuts, len(e)])] if len(e) else []
     for a in range(0, len(settled), 1 << 14):
-        out.append(_blob(1, (int(settled["anchor"][a]) + a) % shards, settled[a : a + (1 << 14)]))
+        out.append(_blob(1, int(A.mix(settled["anchor"][a : a + 1])[0]) % shards, settled[a : a + (1 << 14)]))
     return _rows(out)
 
 
