@@ -28,7 +28,7 @@ from sigloom.llm import repeats as R
 from sigloom.llm.fm_index import FMIndex
 
 LENGTH, GRAM = 35, 8
-SHARD_BYTES = 3_000_000  # of 8-byte words
+SHARD_BYTES = 2_000_000  # of 8-byte words
 
 
 def _words_as_items(buf, offs):

@@ -39,7 +39,7 @@ from sigloom.llm import arrays as A
 from sigloom.llm.store import Kept, partitions_for
 
 NO_ID = -(1 << 63)
-FLUSH = 1 << 18  # contexts that a task holds before it deals them out
+FLUSH = 1 << 17  # contexts that a task holds before it deals them out
 _PLACE = A.U64((1 << 32) - 1)
 
 ENTRY = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("text", "<i4"), ("start", "<u4"), ("n", "<u2"), ("many", "u1")])
@@ -55,6 +55,7 @@ class Shape:
     length: int
     gram: int
     keep_first: bool  # the first of equal windows stays
+    piece: int = A.PIECE_BYTES  # bytes handled at once; about 100 times that in memory for byte items
 
     @property
     def reach(self) -> int:
@@ -158,7 +159,7 @@ def _scan(shape: Shape, shards: int):
         held, n = [], 0
         for batch in batches:
             ids, texts = batch.column("k").to_numpy(), batch.column("t").to_numpy()
-            for first, _, buf, offs in A.pieces(batch):
+            for first, _, buf, offs in A.pieces(batch, limit=shape.piece):
                 values, rows = shape.items(buf, offs)
                 anchor, content, at, count, row = anchor_runs(values, rows, shape)
                 e = np.empty(len(at), dtype=ENTRY)
@@ -252,7 +253,7 @@ def _cut(shape: Shape, as_bytes: bool):
         for batch in batches:
             asks = batch.column("asks")
             ks, ts = batch.column("k").to_pylist(), batch.column("t").to_pylist()
-            for first, last, buf, offs in A.pieces(batch):
+            for first, last, buf, offs in A.pieces(batch, limit=shape.piece):
                 values, rows = (buf, offs) if as_bytes else shape.items(buf, offs)
                 out = {c: [] for c in ("anchor", "k", "t", "start", "n", "many", "items")}
                 for d in range(first, last):
@@ -278,7 +279,7 @@ def _cut_windows(shape: Shape):
     def run(batches):
         for batch in batches:
             asks, ks, ts = batch.column("asks"), batch.column("k").to_pylist(), batch.column("t").to_pylist()
-            for first, last, buf, offs in A.pieces(batch):
+            for first, last, buf, offs in A.pieces(batch, limit=shape.piece):
                 values, rows = shape.items(buf, offs)
                 one = A.window_hash(A.prefix_sums(values, 2), shape.length, 2).view(np.int64)
                 two = A.window_hash(A.prefix_sums(A.mix(values ^ A.U64(0x51ED270B0F3A9D27)), 3), shape.length, 3).view(np.int64)

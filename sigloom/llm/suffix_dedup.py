@@ -29,7 +29,8 @@ from sigloom.llm import repeats as R
 from sigloom.llm.suffixes import equal_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
-SHARD_BYTES = 400_000
+SHARD_BYTES = 150_000
+PIECE_BYTES = 1 << 18
 
 
 def _bytes_as_items(buf, offs):
@@ -37,7 +38,7 @@ def _bytes_as_items(buf, offs):
 
 
 def shape(length: int = LENGTH, gram: int = GRAM) -> R.Shape:
-    return R.Shape(_bytes_as_items, length, gram, keep_first=True)
+    return R.Shape(_bytes_as_items, length, gram, keep_first=True, piece=PIECE_BYTES)
 
 
 def later_windows(shard: list, length: int) -> list[np.ndarray]:
