@@ -9,14 +9,19 @@ terms give them away. For a term t and an entity e it compares
 all probabilities being shares of the corpus' documents. PMI reaches IC when
 every document with t also holds e; t discloses e when PMI >= ALPHA * IC and the
 pair stands together in at least MIN_DOCS documents (once is no evidence).
-Terms that disclose are removed, or generalised to a placeholder, wherever they
-stand near an entity that they disclose.
-
-Statistics cover all documents. Pairs come from words within CONTEXT words of an
-entity, so their number grows with the entities, not with pairs of words; counts
-are summed map-side first. Document frequencies are counted only for words that
-are in some pair often enough: candidate terms are cut into hashed blocks of a
-bounded size, each broadcast on its own and counted in one scan.
+Terms that disclose are generalised to a placeholder: with `everywhere` (the
+query and the pipeline) wherever they stand, otherwise wherever they stand in a
+document that holds an entity that they disclose.
+
+Statistics cover whole documents, and all of them. Pairs are counted only where
+they can reach the threshold. With de and df the numbers of documents of e and
+t, and N of all, it asks for n(t, e) >= df * (de / N)^(1 - ALPHA). As n is at
+most de, rarer entities than MIN_DOCS go first; then terms that stand in fewer
+than MIN_DOCS documents with an entity left; then pairs with df above
+de * (N / de)^(1 - ALPHA). These bounds lose no pair. Counts are summed before the
+shuffle, so a hot entity has one row for each term and batch, dealt out by the
+pair. Entities and candidate terms are cut into hashed blocks of a bounded size,
+each broadcast on its own and counted in one scan.
 
 Defined results: null text is empty; null ids stay; repeated rows are counted and
 marked one by one; an empty table gives no rows; other columns pass unchanged
@@ -28,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +44,9 @@ from sigloom.llm.store import Kept
 
 ALPHA = 0.9
 MIN_DOCS = 3
-CONTEXT = 8
 BLOCK_TERMS = 200_000
+#: Counts that a worker holds before it hands them on.
+FLUSH = 300_000
 #: The patterns of the contract, in the order of kinds.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -107,35 +114,24 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[span[1]]}:{text[span[0] : span[2]].lower()}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], context: int = CONTEXT):
-    """(entity, term, start, end) of the words near each entity, other than the
-    words of entities themselves. Words near many entities are given for each."""
-    if not spans:
-        return
-    taken = sorted({(s, e) for s, _, e in spans})
-    for span in spans:
-        name = entity(text, span)
-        after, pos = [], span[2]
-        while len(after) < context and (m := WORD.search(text, pos)):
-            after.append((m.start(), m.end()))
-            pos = m.end()
-        before, pos = [], span[0]
-        while len(before) < context and pos > 0:
-            end = pos
-            while end > 0 and text[end - 1] in " \t\n\x0b\f\r":
-                end -= 1
-            start = end
-            while start > 0 and text[start - 1] not in " \t\n\x0b\f\r":
-                start -= 1
-            if start == end:
-                break
-            before.append((start, end))
-            pos = start
-        for s, e in before + after:
-            if not any(a < e and s < b for a, b in taken):
-                term = _term(text[s:e])
-                if term:
-                    yield name, term, s, e
+def words(text: str, spans: list[tuple[int, int, int]]):
+    """(term, start, end) of the words that no entity overlaps."""
+    taken, k, reach = sorted((s, e) for s, _, e in spans), 0, 0
+    for m in WORD.finditer(text):
+        start, end = m.span()
+        while k < len(taken) and taken[k][0] < end:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= start and (term := _term(m.group())):
+            yield term, start, end
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]]):
+    """(entity, term, start, end) of a document's words, for each of its entities."""
+    own = list(words(text, spans)) if spans else []
+    for name in sorted({entity(text, s) for s in spans}):
+        for term, start, end in own:
+            yield name, term, start, end
 
 
 def _term(word: str) -> str:
@@ -147,96 +143,156 @@ def _texts(batch: pa.RecordBatch):
         yield t.as_py() or ""
 
 
-def _pairs(batches):
-    """Documents of each (entity, term) pair ('' as term: of the entity), summed
-    by batch. One row with a null entity counts the batch's documents."""
-    for batch in batches:
-        n: Counter = Counter()
-        for text in _texts(batch):
-            spans = base_spans(text)
-            if spans:
-                n.update({(entity(text, s), "") for s in spans} | {(e, t) for e, t, _, _ in contexts(text, spans)})
-        n[(None, "")] = batch.num_rows
-        yield pa.RecordBatch.from_pydict({"entity": [k[0] for k in n], "term": [k[1] for k in n], "n": list(n.values())}, schema=pa.schema([("entity", pa.string()), ("term", pa.string()), ("n", pa.int64())]))
+def _counted(of, *names: str):
+    """Rows (*names, n): how many texts give each key, summed by batch or FLUSH."""
+    schema = pa.schema([*((c, pa.string()) for c in names), ("n", pa.int64())])
 
+    def rows(n: Counter) -> pa.RecordBatch:
+        keys = zip(*n) if len(names) > 1 and n else [list(n)] * len(names)
+        return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), pa.array(list(n.values()), pa.int64())], schema=schema)
 
-def _document_frequencies(block):
     def run(batches):
-        known, n = block.value, Counter()
         for batch in batches:
+            n: Counter = Counter()
             for text in _texts(batch):
-                words = {_term(w) for w in set(text.split())}
-                n.update(words & known)
-        yield pa.RecordBatch.from_pydict({"term": list(n), "df": list(n.values())}, schema=pa.schema([("term", pa.string()), ("df", pa.int64())]))
+                n.update(of(text))
+                if len(n) > FLUSH:
+                    yield rows(n)
+                    n = Counter()
+            yield rows(n)
 
     return run
 
 
+def _entities(text: str) -> set:
+    """A text's entities, and null, which counts the texts."""
+    return {None, *(entity(text, s) for s in base_spans(text))}
+
+
+def _terms_beside(ents):
+    """The terms of texts that hold an entity of the block."""
+
+    def of(text):
+        spans = base_spans(text)
+        if not spans or ents.value.keys().isdisjoint({entity(text, s) for s in spans}):
+            return ()
+        return {t for t, _, _ in words(text, spans)}
+
+    return of
+
+
+def _known_terms(terms):
+    return lambda text: {_term(w) for w in set(text.split())} & terms.value.keys()
+
+
+def _pairs(ents, terms):
+    """(entity, term) of each text where the term's df is within the entity's bound."""
+
+    def of(text):
+        spans = base_spans(text)
+        own = {entity(text, s) for s in spans} & ents.value.keys() if spans else ()
+        if not own:
+            return
+        df = terms.value
+        here = [(t, df[t]) for t in {t for t, _, _ in words(text, spans)} & df.keys()]
+        for e in own:
+            most = ents.value[e]
+            yield from ((e, t) for t, n in here if n <= most)
+
+    return of
+
+
+def _blocks(df: DataFrame, key: str, value: str) -> list:
+    """Broadcasts {key: value} of a table, BLOCK_TERMS rows or so in each."""
+    n = max(1, -(-df.count() // BLOCK_TERMS))
+    # A block at a time on the driver.
+    parts = ({r[key]: r[value] for r in df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b).collect()} for b in range(n))
+    return [df.sparkSession.sparkContext.broadcast(p) for p in parts if p]
+
+
+def _sums(docs: DataFrame, ofs: list, *names: str) -> DataFrame:
+    """The counts of one scan for each of the functions, added up."""
+    schema = ", ".join([*(f"{c} string" for c in names), "n long"])
+    parts = [docs.mapInArrow(_counted(of, *names), schema) for of in ofs]
+    return reduce(DataFrame.union, parts).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
 def disclosing(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
     """(entity, term): the terms that reveal an entity more than the threshold."""
-    spark = docs.sparkSession
     docs = docs.select("text")
-    pairs = Kept(docs.mapInArrow(_pairs, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")).filter(F.col("entity").isNull() | (F.col("n") >= min_docs)), "pairs").df
-    total = pairs.filter("entity IS NULL").agg(F.sum("n")).first()[0] or 0
-    often = pairs.filter("term <> ''")
-    terms = often.select("term").distinct()
-    n_blocks = max(1, -(-terms.count() // BLOCK_TERMS))
-    counts = None
-    for b in range(n_blocks):
-        part = {r.term for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == b).collect()}
-        if not part:
-            continue
-        one = docs.mapInArrow(_document_frequencies(spark.sparkContext.broadcast(part)), "term string, df long")
-        counts = one if counts is None else counts.union(one)
-    if counts is None:
-        return often.select("entity", "term").limit(0)
-    df = counts.groupBy("term").agg(F.sum("df").alias("df"))
-    ents = pairs.filter("term = ''").select("entity", F.col("n").alias("de"))
-    pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("df") * F.col("de")))
-    ic = -F.log(F.col("de") / F.lit(float(max(total, 1))))
-    return often.join(ents, "entity").join(df, "term").filter((ic > 0) & (pmi >= F.lit(alpha) * ic)).select("entity", "term")
-
-
-def _pairs_of_texts(batches):
-    """(key, entity, term) of each text that has entities; the key is the text's."""
-    for batch in batches:
-        out = {"key": [], "entity": [], "term": []}
-        for key, text in zip(batch.column("key").to_pylist(), _texts(batch)):
-            for e, t in {(e, t) for e, t, _, _ in contexts(text, base_spans(text))}:
-                out["key"].append(key)
-                out["entity"].append(e)
-                out["term"].append(t)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("entity", pa.string()), ("term", pa.string())]))
+    none = docs.sparkSession.createDataFrame([], "entity string, term string")
+    often = Kept(_sums(docs, [_entities], "entity").filter(F.col("entity").isNull() | (F.col("n") >= min_docs)), "entities").df
+    total = float(often.filter("entity IS NULL").agg(F.sum("n")).first()[0] or 0)
+    # An entity of every document has no information to disclose.
+    often = often.filter(F.col("entity").isNotNull() & (F.col("n") < total)).withColumnRenamed("n", "de")
+    # A little above the bound, for the rounding of powers.
+    most = F.col("de") * F.pow(F.lit(total) / F.col("de"), F.lit(1 - alpha)) * (1 + 1e-9)
+    ents = _blocks(often.withColumn("most", most), "entity", "most")
+    if not ents:
+        return none
+    # Texts with entities of several blocks count more than once: still a bound.
+    beside = Kept(_sums(docs, [_terms_beside(e) for e in ents], "term").filter(F.col("n") >= min_docs), "terms").df
+    candidates = _blocks(beside, "term", "n")
+    if not candidates:
+        return none
+    largest = often.agg(F.max(most)).first()[0]
+    df = Kept(_sums(docs, [_known_terms(t) for t in candidates], "term").filter(F.col("n") <= largest).withColumnRenamed("n", "df"), "frequencies").df
+    rare = _blocks(df, "term", "df")
+    if not rare:
+        return none
+    pairs = _sums(docs, [_pairs(e, t) for t in rare for e in ents], "entity", "term").filter(F.col("n") >= min_docs)
+    pmi = F.log(F.col("n") * F.lit(total) / (F.col("df") * F.col("de")))
+    ic = -F.log(F.col("de") / F.lit(total))
+    return pairs.join(often, "entity").join(df, "term").filter(pmi >= F.lit(alpha) * ic).select("entity", "term")
+
+
+def _marks_of_texts(found, everywhere: bool):
+    """(key, term) of the terms to mark in each text; the key is the text's."""
+
+    def run(batches):
+        known = found.value
+        for batch in batches:
+            out = {"key": [], "term": []}
+            for key, text in zip(batch.column("key").to_pylist(), _texts(batch)):
+                spans = base_spans(text)
+                own = {entity(text, s) for s in spans}
+                for t in {t for t, _, _ in words(text, spans)} & known.keys():
+                    if everywhere or not own.isdisjoint(known[t]):
+                        out["key"].append(key)
+                        out["term"].append(t)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("term", pa.string())]))
+
+    return run
 
 
 BROADCAST_MARKS = 100_000
 
 
-def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents with a column of the disclosing (entity, term) pairs of each
-    text, and its name. They depend on the text alone, so they are joined by its
-    hash: null and repeated ids don't matter, and a pair of another text with the
-    same hash would match nothing. Few marks are broadcast; more are joined by a
+def _marked(docs: DataFrame, everywhere: bool) -> tuple[DataFrame, str]:
+    """The documents with a column of the terms to mark in each text, and its
+    name. They depend on the text alone, so they are joined by its hash: null and
+    repeated ids don't matter. Few marks are broadcast; more are joined by a
     shuffle."""
     key, name, own = F.xxhash64("text"), fresh(docs, "marks"), fresh(docs, "text_key")
-    found = disclosing(docs)
-    near = docs.select(key.alias("key"), "text").mapInArrow(_pairs_of_texts, "key long, entity string, term string").distinct()
-    kept = Kept(near.join(found, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("entity", "term")).alias(name)), "marks").df
+    names = F.lit(None) if everywhere else F.collect_set("entity")
+    found = Kept(disclosing(docs).groupBy("term").agg(names.cast("array<string>").alias("entities")), "disclosing").df
+    blocks = _blocks(found, "term", "entities")
+    if not blocks:
+        return docs.withColumn(name, F.lit(None).cast("array<string>")), name
+    keyed = docs.select(key.alias("key"), "text")
+    near = reduce(DataFrame.union, [keyed.mapInArrow(_marks_of_texts(b, everywhere), "key long, term string") for b in blocks])
+    kept = Kept(near.groupBy("key").agg(F.collect_set("term").alias(name)), "marks").df
     marks = kept.withColumnRenamed("key", own)
     if kept.count() <= BROADCAST_MARKS:
         marks = F.broadcast(marks)
     return docs.withColumn(own, key).join(marks, own, "left").drop(own), name
 
 
-def _found(marks) -> set:
-    return {(m["entity"], m["term"]) for m in marks or ()}
-
-
 def all_spans(text: str, found: set) -> list[tuple[int, int, int]]:
-    """Base spans, and those of terms (kind number 4) that disclose an entity here."""
+    """Base spans, and those of the found terms (kind number 4)."""
     spans = base_spans(text)
-    if found and spans:
-        spans = sorted(set(spans) | {(s, 4, e) for ent, t, s, e in contexts(text, spans) if (ent, t) in found})
+    if found:
+        spans = sorted([*spans, *((s, 4, e) for t, s, e in words(text, spans) if t in found)])
     return spans
 
 
@@ -251,7 +307,7 @@ def _report(batches):
     for batch in batches:
         out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
         for text, marks in zip(_texts(batch), batch.column("marks")):
-            spans = all_spans(text, _found(marks.as_py()))
+            spans = all_spans(text, set(marks.as_py() or ()))
             base = [s for s in spans if s[1] < 4]
             n = Counter(k for _, k, _ in base)
             for k, name in enumerate(KINDS):
@@ -283,7 +339,7 @@ def _rewrite(names: list[str], own: str):
             texts = []
             for v, marks in zip(batch.column("text"), batch.column(own)):
                 text = v.as_py()
-                spans = all_spans(text, _found(marks.as_py())) if text else []
+                spans = all_spans(text, set(marks.as_py() or ())) if text else []
                 texts.append(replaced(text, spans) if spans else text)
             batch = batch.select(names)
             k = batch.schema.get_field_index("text")
@@ -298,20 +354,20 @@ def _rewrite(names: list[str], own: str):
     return run
 
 
-def annotate(docs: DataFrame) -> DataFrame:
+def annotate(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """doc_id, counts by kind, the base spans' hash, and all spans of each row."""
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return _marked(docs.select("doc_id", "text"))[0].mapInArrow(_report, schema)
+    return _marked(docs.select("doc_id", "text"), everywhere)[0].mapInArrow(_report, schema)
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """All rows, with entities and disclosing terms replaced in their texts."""
-    marked, name = _marked(docs)
+    marked, name = _marked(docs, everywhere)
     return marked.mapInArrow(_rewrite(docs.columns, name), docs.schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return annotate(spark.read.parquet(f"{sf_dir}/documents.parquet"), everywhere=True)
 
 
 QUERIES = {"op8_pii": op8_pii}

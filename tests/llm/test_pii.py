@@ -108,3 +108,29 @@ def test_disclosing_equals_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert P.sanitise(df).count() == 0 and P.annotate(df).count() == 0
+
+
+def test_terms_far_from_their_entity(spark):
+    """Whole documents are counted, and every occurrence of a term is marked."""
+    far = " ".join(f"w{k}" for k in range(40))
+    texts = [f"zorbax {far} mail bob@corp.example.org {far} zorbax, and {i}" for i in range(4)]
+    texts += [f"{far} mail and number {i}" for i in range(60)] + ["see Zorbax, there"]
+    df = spark.createDataFrame([(i, t, "x", "y", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert {tuple(r) for r in P.disclosing(df).collect()} == {("email:bob@corp.example.org", "zorbax")}
+    near = {r.doc_id: r.text for r in P.sanitise(df).collect()}
+    assert near[0] == f"<TERM> {far} mail <EMAIL> {far} <TERM> and 0" and near[64] == texts[64]
+    out = {r.doc_id: r.text for r in P.sanitise(df, everywhere=True).collect()}
+    assert out[0] == near[0] and out[64] == "see <TERM> there" and out[10] == texts[10]
+    spans = {r.doc_id: r.spans for r in P.annotate(df, everywhere=True).collect()}
+    assert spans[64] == "term:4:11" and spans[10] == ""
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    texts = [f"{a} with {b} of {w}@corp.example.org" for w, a, b in (("bob", "zorbax", "quill"), ("eve", "vantor", "marl")) for _ in range(4)]
+    texts += [f"people with number {i} of it" for i in range(40)] + ["quill"]
+    df = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in enumerate(texts)], SCHEMA)
+    want = {tuple(r) for r in P.disclosing(df).collect()}
+    spans = sorted(map(tuple, P.annotate(df, everywhere=True).collect()))
+    monkeypatch.setattr(P, "BLOCK_TERMS", 1)
+    assert {tuple(r) for r in P.disclosing(df).collect()} == want and len(want) == 4
+    assert sorted(map(tuple, P.annotate(df, everywhere=True).collect())) == spans
