@@ -14,11 +14,14 @@ broadcast; documents are scanned where they stand.
 Defined results: null and blank texts match nothing and give no rows; a null
 doc_id stays null; repeated rows are reported one by one; of overlapping
 alignments of one template the one with the most matched words is kept (the
-earlier of equals); an empty table gives no rows; other columns are not read.
+earlier of equals); an alignment inside one of another template with more matched
+words (of equals, more coverage) is part of that text and gives no row, so a
+BSD-3-Clause text is not reported as the shorter BSD-2-Clause; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import pkgutil
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +34,8 @@ from sigloom.llm.lookup import Lookup
 SHINGLE, WINNOW, BAND, COVERAGE = 5, 4, 8, 0.8
 MAX_TEMPLATE_WORDS = 2_000_000
 
-#: Public licence texts and notices by SPDX name.
-TEMPLATES = {
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+#: Notices and parts of licences by SPDX name.
+NOTICES = {
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -54,6 +56,37 @@ TEMPLATES = {
     ],
 }
 
+_FSF = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+NOTICES |= {
+    "AGPL-3.0": [_FSF.format("GNU Affero General Public License", ",", "3")],
+    "GPL-2.0": [_FSF.format("GNU General Public License", ";", "2")],
+    "LGPL-2.1": [_FSF.format("GNU Lesser General Public License", ";", "2.1")],
+    "LGPL-3.0": [_FSF.format("GNU Lesser General Public License", ",", "3")],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+}
+#: Creative Commons 4.0 by what the short and the long name add.
+for _short, _long in (("", ""), ("-SA", "-ShareAlike"), ("-NC", "-NonCommercial"), ("-ND", "-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives")):
+    NOTICES[f"CC-BY{_short}-4.0"] = [f"Licensed under CC BY{_short} 4.0.", f"This work is licensed under a Creative Commons Attribution{_long} 4.0 International License."]
+
+#: Licences whose whole text is in license_texts/.
+WHOLE = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib")
+#: Where the warranty part of a short licence begins; it is often quoted alone.
+DISCLAIMERS = {"MIT": "THE SOFTWARE IS", "ISC": "THE SOFTWARE IS", "BSD-2-Clause": "THIS SOFTWARE IS"}
+
+
+def _templates() -> dict[str, list[str]]:
+    """Notices, whole texts and disclaimers by SPDX name."""
+    out = {name: list(texts) for name, texts in NOTICES.items()}
+    for name in WHOLE:
+        text = pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
+        out.setdefault(name, []).append(text)
+        if name in DISCLAIMERS:
+            out[name].append(text[text.index(DISCLAIMERS[name]) :])
+    return out
+
+
+TEMPLATES = _templates()
+
 
 def _words(buf, offs):
     """Word hashes, their byte spans, and the rows' offsets into them."""
@@ -153,15 +186,31 @@ def matches(index: Index, words: np.ndarray, sums: np.ndarray, coverage: float =
         if t in done and d - done[t] <= BAND // 2:
             continue
         done[t] = d
+        if not _possible(index.words[t], words, d, coverage):
+            continue
         n, a, b = align(index.words[t], words, d)
         if n >= coverage * len(index.words[t]):
             found.append((t, n, a, b))
-    found.sort(key=lambda x: (x[0], -x[1], x[2]))
+    found.sort(key=lambda x: (-x[1], len(index.words[x[0]]), x[0], x[2]))
     out = []
-    for x in found:
-        if not any(x[0] == y[0] and x[2] < y[3] and y[2] < x[3] for y in out):
-            out.append(x)
-    return out
+    for t, n, a, b in found:
+        if not any(a < d and c < b if t == u else c <= a and b <= d for u, _, c, d in out):
+            out.append((t, n, a, b))
+    return sorted(out, key=lambda x: (x[0], -x[1], x[2]))
+
+
+def _possible(template: np.ndarray, text: np.ndarray, diagonal: int, coverage: float) -> bool:
+    """Whether enough of the template's words stand within BAND of their places:
+    a bound that no alignment exceeds and that costs far less."""
+    m, least = len(template), coverage * len(template)
+    if len(text) < least:
+        return False
+    hit = np.zeros(m, bool)
+    for d in range(diagonal - BAND, diagonal + BAND + 1):
+        a, b = max(0, -d), min(m, len(text) - d)
+        if a < b:
+            hit[a:b] |= template[a:b] == text[a + d : b + d]
+    return hit.sum() >= least
 
 
 def _scan(index, coverage):

@@ -1,6 +1,7 @@
 """Licence scan against a full (unbanded, unfiltered) alignment."""
 
 import re
+from pathlib import Path
 
 import numpy as np
 
@@ -75,3 +76,22 @@ def test_winnowing_guarantee():
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], SCHEMA)).count() == 0
     assert len(A.codes(1)) == 256
+
+
+def test_whole_texts_and_parts(spark):
+    """A whole licence is one row with a span to its end, under its own name."""
+    rows, want = [], set()
+    for k, name in enumerate(L.WHOLE):
+        whole = (Path(L.__file__).parent / "license_texts" / f"{name}.txt").read_text()
+        rows.append((k, f"before it\n{whole}", "a", "b"))
+        want.add((k, name, 2 + len(tokens(whole))))
+    for k, name in enumerate(L.DISCLAIMERS, 100):
+        whole = (Path(L.__file__).parent / "license_texts" / f"{name}.txt").read_text()
+        part = whole[whole.index(L.DISCLAIMERS[name]) :]
+        rows.append((k, part, "a", "b"))
+        want.add((k, name, len(tokens(part))))
+    for k, name in enumerate(L.NOTICES, 200):
+        rows.append((k, L.NOTICES[name][0], "a", "b"))
+        want.add((k, name, len(tokens(L.NOTICES[name][0]))))
+    got = L.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id, r.license, r.end_word) for r in got} == want and len(got) == len(want)
