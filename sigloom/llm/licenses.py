@@ -2,7 +2,8 @@
 
 Templates are normalised to lower-case words; of each run of WINNOW consecutive
 5-word shingles the smallest hash is a fingerprint (the rightmost of equals), and
-an inverted index maps fingerprints to (template, place). A document that shares
+an inverted index maps fingerprints to (template, place). Templates below SHORT
+words are indexed by a few rare words instead, of which each match holds one. A document that shares
 a fingerprint with a template is aligned with it around each diagonal that the
 shared fingerprints name: a global-in-template, local-in-document edit alignment
 in a band of BAND words either side. Alignments that cover COVERAGE of the
@@ -21,6 +22,7 @@ BSD-3-Clause text is not reported as the shorter BSD-2-Clause; an empty table gi
 
 from __future__ import annotations
 
+import math
 import pkgutil
 from dataclasses import dataclass
 
@@ -32,6 +34,10 @@ from sigloom.llm import arrays as A
 from sigloom.llm.lookup import Lookup
 
 SHINGLE, WINNOW, BAND, COVERAGE = 5, 4, 8, 0.8
+#: Templates below this many words are indexed by single words (see build).
+SHORT = 20
+#: Not chosen for that as long as there are others.
+COMMON = frozenset("a as at by general in is it licensed of on or public released the this to under version work".split())
 MAX_TEMPLATE_WORDS = 2_000_000
 
 #: Notices and parts of licences by SPDX name.
@@ -107,6 +113,13 @@ def winnow(hashes: np.ndarray, window: int = WINNOW) -> np.ndarray:
     return np.array(sorted(out), np.int64)
 
 
+def _rarest(raw: bytes, starts: np.ndarray, ends: np.ndarray, coverage: float) -> list[int]:
+    """Places of one word more than a match may lack: long ones, not COMMON."""
+    words = [raw[a:b].decode().lower() for a, b in zip(starts.tolist(), ends.tolist())]
+    n = len(words) - math.ceil(coverage * len(words) - 1e-9) + 1
+    return sorted(range(len(words)), key=lambda p: (words[p] in COMMON, -len(words[p]), p))[:n]
+
+
 @dataclass
 class Index:
     names: list[str]
@@ -114,18 +127,20 @@ class Index:
     look: dict[int, tuple[Lookup, np.ndarray, np.ndarray, np.ndarray]]  # by shingle size: keys, bounds, template, place
 
 
-def build(templates: dict[str, list[str]]) -> Index:
-    """The inverted index; templates under SHINGLE words are one shingle."""
+def build(templates: dict[str, list[str]], coverage: float = COVERAGE) -> Index:
+    """The inverted index. A template below SHORT words is too short for winnowed
+    shingles to meet every match; of its words, one more is indexed than a match
+    may lack, so each match holds one of them."""
     names, words, found = [], [], {}
     for name, texts in templates.items():
         for text in texts:
             raw = np.frombuffer(text.encode(), np.uint8)
-            w = _words(raw, np.array([0, len(raw)]))[0]
+            w, starts, ends, _ = _words(raw, np.array([0, len(raw)]))
             if not len(w):
                 continue
-            k = min(SHINGLE, len(w))
+            k = 1 if len(w) < SHORT else SHINGLE
             h = A.window_hash(A.prefix_sums(w, 2), k, 2)
-            for p in winnow(h).tolist():
+            for p in winnow(h).tolist() if k > 1 else _rarest(text.encode(), starts, ends, coverage):
                 found.setdefault(k, []).append((int(h[p]), len(names), p))
             names.append(name)
             words.append(w)
@@ -242,7 +257,7 @@ def _scan(index, coverage):
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """A row for each found occurrence of a template: doc_id, license, its words,
     how many of them matched, coverage, and the span in words and in bytes."""
-    index = docs.sparkSession.sparkContext.broadcast(build(TEMPLATES if templates is None else templates))
+    index = docs.sparkSession.sparkContext.broadcast(build(TEMPLATES if templates is None else templates, coverage))
     schema = "doc_id long, license string, template_words long, matched_words long, coverage double, first_word long, end_word long, start_byte long, end_byte long"
     return docs.select("doc_id", "text").mapInArrow(_scan(index, coverage), schema)
 

@@ -95,3 +95,15 @@ def test_whole_texts_and_parts(spark):
         want.add((k, name, len(tokens(L.NOTICES[name][0]))))
     got = L.scan(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r.doc_id, r.license, r.end_word) for r in got} == want and len(got) == len(want)
+
+
+def test_short_notices_with_an_edit():
+    """One word added or changed anywhere leaves a short notice to be found."""
+    index = L.build(L.TEMPLATES)
+    for text in [t for texts in L.NOTICES.values() for t in texts if len(tokens(t)) < L.SHORT]:
+        words = tokens(text)
+        for k in range(len(words)):
+            for edited in (words[:k] + ["zz"] + words[k:], words[:k] + ["zz"] + words[k + 1 :]):
+                raw = np.frombuffer(" ".join(["aa", *edited]).encode(), np.uint8)
+                w = L._words(raw, np.array([0, len(raw)]))[0]
+                assert L.matches(index, w, A.prefix_sums(w, 2)), edited
