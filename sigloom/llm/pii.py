@@ -182,7 +182,7 @@ def _terms_beside(ents):
 
 
 def _known_terms(terms):
-    return lambda text: {_term(w) for w in set(text.split())} & terms.value.keys()
+    return lambda text: {_term(w) for w in set(WORD.findall(text))} & terms.value.keys()
 
 
 def _pairs(ents, terms):

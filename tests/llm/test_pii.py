@@ -134,3 +134,10 @@ def test_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(P, "BLOCK_TERMS", 1)
     assert {tuple(r) for r in P.disclosing(df).collect()} == want and len(want) == 4
     assert sorted(map(tuple, P.annotate(df, everywhere=True).collect())) == spans
+
+
+def test_terms_with_other_blanks(spark):
+    """Only ASCII blanks part words, in the frequencies too."""
+    texts = [f"nom\u00a0zorbax: bob@corp.example.org {i}" for i in range(4)] + [f"people and number {i}" for i in range(40)]
+    df = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {tuple(r) for r in P.disclosing(df).collect()} == {("email:bob@corp.example.org", "nom\u00a0zorbax")}
