@@ -232,11 +232,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     it. Rows without an id stay only where no row of the group has one, and then
     one row of the group does."""
     sig, comp = groups(docs)
+    fp, root, low = fresh(docs, "fp"), fresh(docs, "root"), fresh(docs, "low")
+    named = comp.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(low))
+    rooted = sig.df.filter("doc_id IS NOT NULL").join(comp, "fp").groupBy("doc_id")
+    split = Kept(rooted.agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("doc_id"), "split").df
     winners = comp.filter("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(winners, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(winners, "doc_id", "left_semi").join(split, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    if not split.isEmpty():  # ids with texts of several groups, each judged in its own
+        marked = fingerprints(docs.join(split, "doc_id", "left_semi").select(docs.columns), docs.columns, fp)
+        own = marked.join(named, fp).filter(F.col("doc_id") == F.col(low)).dropDuplicates([root])
+        kept = kept.unionByName(own.drop(fp, root, low))
     if sig.df.filter("doc_id IS NULL").isEmpty():
         return kept
-    fp, root = fresh(docs, "fp"), fresh(docs, "root")
     marked = fingerprints(docs.filter("doc_id IS NULL"), docs.columns, fp)
     alone = comp.filter("component_id IS NULL").select(F.col("fp").alias(fp), F.col("root").alias(root))
     return kept.unionByName(marked.join(alone, fp).dropDuplicates([root]).drop(fp, root))

@@ -108,3 +108,12 @@ def test_links_keep_every_connection(spark, bucket):
     for d, _, c in components_of(list(enumerate(ids))):
         truth.setdefault(c, []).append(ids[d])
     assert parts == sorted(map(sorted, truth.values()))
+
+
+def test_keep_one_of_each_group_with_repeated_ids(spark):
+    """An id with different texts stands for each of their groups."""
+    a, b, c = ("one two three four five six", "red green blue black white grey", "north south east west up down")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (5, c), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = S.keep_one(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted([(1, a), (1, b), (4, c)])
