@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from sigloom.plans import relational_queries, signal_queries, stream_queries  # noqa: F401
+    from sigloom.plans import package_queries, relational_queries, signal_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

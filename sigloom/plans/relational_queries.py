@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sigloom.operators import slices
 from sigloom.operators import tables as O
 from sigloom.plans.catalog import register
 from sigloom.sources.tables import table
@@ -45,6 +46,11 @@ _sql("join_semi", "SELECT o_orderkey FROM {orders} LEFT SEMI JOIN {lineitem} ON
 _sql("join_anti", "SELECT o_orderkey FROM {orders} LEFT ANTI JOIN {lineitem} ON o_orderkey = l_orderkey",
      "SELECT o_orderkey FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
 _sql("join_theta", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal")
+# Strategies: the hint decides, the rows are the same.
+for _hint in ("MERGE", "SHUFFLE_HASH", "BROADCAST", "SHUFFLE_REPLICATE_NL"):
+    _small = "WHERE o_orderkey % 50 = 0" if _hint == "SHUFFLE_REPLICATE_NL" else ""
+    _sql(f"join_hint_{_hint.lower()}", f"SELECT /*+ {_hint}(c) */ o.o_orderkey, c.c_name FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey {_small}",
+         f"SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey {_small}")
 _sql("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 
 # Aggregation
@@ -68,7 +74,6 @@ _sql("unpivot", "SELECT s_suppkey, measure, amount FROM (SELECT s_suppkey, CAST(
 # Windows
 _sql("ranking", """SELECT s_suppkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr,
   CAST(ntile(3) OVER w AS BIGINT) AS nt, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM {supplier} WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)""")
-_sql("rolling_rows", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean10 FROM {events}")
 _sql("rolling_range", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '6' HOUR PRECEDING AND CURRENT ROW) AS n6h FROM {events}")
 _sql("lag_lead", "SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
 _sql("last_seen", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS bought FROM {events}",
@@ -98,6 +103,17 @@ _sql("fn_array", "SELECT o_custkey, n FROM (SELECT o_custkey, explode(slice(arra
      "SELECT o_custkey, unnest(list_slice(list_sort(list(o_orderkey)), 1, 2)) AS n FROM orders GROUP BY o_custkey")
 _sql("fn_json", "SELECT event_id, get_json_object(props, '$.k') AS k FROM {events}", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 _sql("fn_conditional", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'other' END AS status, coalesce(nullif(o_orderpriority, '5-LOW'), 'none') AS priority FROM {orders}")
+_sql("fn_map", """SELECT o_custkey, map_contains_key(m, 'O') AS has_open, element_at(m, 'F') AS filled, CAST(size(map_filter(m, (k, v) -> v > 3)) AS BIGINT) AS often,
+  aggregate(map_values(m), 0L, (a, v) -> a + v) AS n FROM (SELECT o_custkey, map_from_entries(collect_list(struct(o_orderstatus, n))) AS m
+  FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM {orders} GROUP BY o_custkey, o_orderstatus) GROUP BY o_custkey)""",
+     """SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') > 0 AS has_open, CAST(sum(n) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS filled,
+  count(*) FILTER (WHERE n > 3) AS often, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY o_custkey""")
+_sql("fn_variant", "SELECT event_id, variant_get(v, '$.k', 'int') AS k, try_variant_get(v, '$.none', 'string') AS none, is_variant_null(variant_get(v, '$.k')) AS is_null FROM (SELECT event_id, parse_json(props) AS v FROM {events})",
+     "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.none') AS none, json_extract_string(props, '$.k') IS NULL AS is_null FROM events")
+_sql("fn_interval", """SELECT o_orderkey, o_orderdate + make_dt_interval(o_orderkey % 3, 5, 30) AS due, o_orderdate + make_ym_interval(0, 2) AS later,
+  CAST(extract(DAY FROM TIMESTAMP_NTZ '2002-01-01 00:00:00' - o_orderdate) AS BIGINT) AS days_left FROM {orders}""",
+     """SELECT o_orderkey, o_orderdate + to_days(CAST(o_orderkey % 3 AS INTEGER)) + INTERVAL 330 MINUTE AS due, o_orderdate + INTERVAL 2 MONTH AS later,
+  datediff('day', o_orderdate, TIMESTAMP '2002-01-01 00:00:00') - CASE WHEN CAST(o_orderdate AS TIME) > TIME '00:00:00' THEN 1 ELSE 0 END AS days_left FROM orders""")
 _sql("recursive_dates", "WITH RECURSIVE d(n) AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM d WHERE n < 60) SELECT n, count(*) AS orders FROM d JOIN {orders} ON o_custkey = n GROUP BY n")
 
 # Longer queries
@@ -169,3 +185,31 @@ def udtf_words(spark, sf_dir):
 
     spark.udtf.register("sigloom_words", Words)
     return spark.sql("SELECT p_partkey, w.word FROM {part}, LATERAL sigloom_words(p_name) w", part=table(spark, sf_dir, "part"))
+
+
+@register("rolling_rows", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean10 FROM events")
+def rolling_rows(spark, sf_dir):
+    """Five keys hold all rows: they are cut into chunks."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    return slices.rolling_rows(e, "event_type", "ts", ["ts"], 10, F.avg("value"), "mean10", 86400).select("event_id", F.round("mean10", 6).alias("mean10"))
+
+
+@register("agg_approx_distinct", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, true AS within FROM orders GROUP BY o_orderpriority")
+def agg_approx_distinct(spark, sf_dir):
+    """The sketch (relative error 0.01) beside the exact count; `within` says that
+    it lies in four standard errors."""
+    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority")
+    rough = F.approx_count_distinct("o_custkey", 0.01)
+    exact = F.count_distinct("o_custkey")
+    return o.agg(exact.alias("customers"), (F.abs(rough - exact) <= 0.04 * exact).alias("within"))
+
+
+@register("fn_time", """SELECT event_id, CAST(date_part('hour', CAST(ts AS TIME)) AS INTEGER) AS h, CAST(date_part('minute', CAST(ts AS TIME)) AS INTEGER) AS m,
+  CAST(ts AS TIME) < TIME '12:00:00' AS morning FROM events""")
+def fn_time(spark, sf_dir):
+    """The TIME type, which this version of Spark has behind a setting."""
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    return spark.sql(
+        "SELECT event_id, hour(t) AS h, minute(t) AS m, t < TIME '12:00:00' AS morning FROM (SELECT event_id, to_time(date_format(ts, 'HH:mm:ss')) AS t FROM {events})",
+        events=table(spark, sf_dir, "events"),
+    )

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.dates import parse_date
 from sigloom.operators import signals as S
+from sigloom.operators import slices
 from sigloom.operators import tables as O
+from sigloom.operators.layouts import BASELINE, COMPACT, conform
 from sigloom.plans.catalog import register
 from sigloom.sources.tables import table, table_as_of
 
@@ -123,6 +125,74 @@ def signal_statistics(spark, sf_dir):
     return _states(spark, sf_dir).rollup("key", "state").agg(F.count("*").alias("n_days"), (F.grouping("key") + F.grouping("state")).cast("long").alias("level"))
 
 
+@register("delayed_reversal", f"""SELECT key, dt, state, prev_state FROM (SELECT *, last_value(nullif(state, 0) IGNORE NULLS) OVER (PARTITION BY key ORDER BY dt
+  ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS prev_state FROM ({_STATE})) WHERE state * prev_state = -1""")
+def delayed_reversal(spark, sf_dir):
+    return S.delayed_reversals(_states(spark, sf_dir), 5).select("key", "dt", "state", "prev_state")
+
+
+@register("confirmed_reversal", f"""SELECT key, dt, state, prev_state FROM (SELECT *, lag(state) OVER (PARTITION BY key ORDER BY dt) AS prev_state, lead(state) OVER (PARTITION BY key ORDER BY dt) AS next_state
+  FROM ({_STATE})) WHERE state * prev_state = -1 AND next_state = state""")
+def confirmed_reversal(spark, sf_dir):
+    return S.confirmed_reversals(_states(spark, sf_dir), 2).select("key", "dt", "state", "prev_state")
+
+
+@register("mechanism_transitions", f"""SELECT key, prev_state, state, count(*) AS n_days, round(count(*) / sum(count(*)) OVER (PARTITION BY key, prev_state), 9) AS share FROM (
+  SELECT *, lag(state) OVER (PARTITION BY key ORDER BY dt) AS prev_state FROM ({_STATE})) WHERE state IS NOT NULL AND prev_state IS NOT NULL GROUP BY key, prev_state, state""")
+def mechanism_transitions(spark, sf_dir):
+    """How often each state follows each."""
+    return S.transitions(_states(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
+@register("mechanism_durations", f"""SELECT key, state, count(*) AS n_segments, CAST(sum(n_days) AS BIGINT) AS n_days, max(n_days) AS longest, round(avg(n_days), 9) AS mean_days FROM ({_SEG}) WHERE state IS NOT NULL GROUP BY key, state""")
+def mechanism_durations(spark, sf_dir):
+    """How long states last."""
+    seg = S.segments(_states(spark, sf_dir)).filter("state IS NOT NULL")
+    return seg.groupBy("key", "state").agg(F.count("*").alias("n_segments"), F.sum("n_days").alias("n_days"), F.max("n_days").alias("longest"), F.round(F.avg("n_days"), 9).alias("mean_days"))
+
+
+@register("mechanism_reversals", f"""SELECT key, state, count(*) AS n_reversals, round(avg(next_ret), 8) AS mean_next FROM (SELECT s.*, lag(s.state) OVER (PARTITION BY s.key ORDER BY s.dt) AS p,
+  lead(r.ret) OVER (PARTITION BY s.key ORDER BY s.dt) AS next_ret FROM ({_STATE}) s JOIN ({_RET}) r ON r.key = s.key AND r.dt = s.dt) WHERE state * p = -1 GROUP BY key, state""")
+def mechanism_reversals(spark, sf_dir):
+    """What follows a reversal."""
+    from pyspark.sql import Window
+
+    df = _states(spark, sf_dir).withColumn("next_ret", F.lead("ret").over(Window.partitionBy("key").orderBy("dt")))
+    return S.reversals(df).groupBy("key", "state").agg(F.count("*").alias("n_reversals"), F.round(F.avg("next_ret"), 8).alias("mean_next"))
+
+
+def _diagnostic(spark, sf_dir):
+    """Nine columns for each key and day: the panel with all signals beside it."""
+    st = S.numbered_segments(_states(spark, sf_dir))
+    flags = _signals(spark, sf_dir)
+    out = st.withColumn("prev_state", S.lagged_state())
+    for name in ("reversal", "exit_from"):
+        out = out.join(flags[name].withColumnRenamed("value", name), ["key", "dt"], "left")
+    return out
+
+
+_DIAGNOSTIC = f"""SELECT key, dt, total, ret, state, prev_state, CAST(sum(new) OVER (PARTITION BY key ORDER BY dt) AS BIGINT) AS seg,
+  CASE WHEN state * prev_state = -1 THEN state END AS reversal, CASE WHEN prev_state <> 0 AND state <> prev_state THEN prev_state END AS exit_from FROM (
+  SELECT r.key, r.dt, r.total, r.ret, s.state, lag(s.state) OVER w AS prev_state, CASE WHEN row_number() OVER w = 1 OR s.state IS DISTINCT FROM lag(s.state) OVER w THEN 1 ELSE 0 END AS new
+  FROM ({_RET}) r JOIN ({_STATE}) s ON s.key = r.key AND s.dt = r.dt WINDOW w AS (PARTITION BY s.key ORDER BY s.dt))"""
+
+
+@register("diagnostic_panel", _DIAGNOSTIC)
+def diagnostic_panel(spark, sf_dir):
+    """In the nine-column layout."""
+    return conform(_diagnostic(spark, sf_dir), BASELINE)
+
+
+@register("compact_layout", f"""WITH RECURSIVE pos AS ({_hold_sql()}), cal AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS execution_dt FROM (SELECT DISTINCT CAST(ts AS DATE) AS dt FROM events))
+  SELECT r.key, r.dt, cal.execution_dt, r.total, r.ret, s.state, pos.position, pos.age FROM ({_RET}) r JOIN ({_STATE}) s ON s.key = r.key AND s.dt = r.dt
+  JOIN pos ON pos.key = r.key AND pos.dt = r.dt JOIN cal ON cal.dt = r.dt""")
+def compact_layout(spark, sf_dir):
+    """Eight columns: the panel with its execution date and position."""
+    st = _states(spark, sf_dir)
+    days = execution_date(spark, sf_dir)
+    return conform(st.join(S.holding_positions(st, HOLD), ["key", "dt"]).join(days, "dt"), COMPACT)
+
+
 @register("mechanism_table", f"""SELECT key, state, count(*) AS n_days, round(avg(next_ret), 8) AS mean_next, CAST(sum(CASE WHEN next_ret > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_up FROM (
   SELECT r.key, r.dt, s.state, lead(r.ret) OVER (PARTITION BY r.key ORDER BY r.dt) AS next_ret FROM ({_RET}) r JOIN ({_STATE}) s ON r.key = s.key AND r.dt = s.dt)
   WHERE state IS NOT NULL AND next_ret IS NOT NULL GROUP BY key, state""")
@@ -148,12 +218,22 @@ def panel_parity(spark, sf_dir):
     return O.parity(a, b, ["key", "dt"])
 
 
-@register("parity_verdicts", """SELECT * FROM (VALUES ('panel', CAST(0 AS BIGINT), 'PASS'), ('broken', CAST(30 AS BIGINT), 'FAIL')) t("table", differences, verdict)""")
+@register("parity_verdicts", f"""SELECT 'panel' AS "table", CAST(0 AS BIGINT) AS differences, 'PASS' AS verdict
+  UNION ALL SELECT 'broken', count(*) FILTER (WHERE key = 'click'), CASE WHEN count(*) FILTER (WHERE key = 'click') = 0 THEN 'PASS' ELSE 'FAIL' END FROM ({_PANEL})""")
 def parity_verdicts(spark, sf_dir):
     a = daily_panel(spark, sf_dir)
     return O.parity_report({"panel": (a, a, ["key", "dt"]), "broken": (a, a.filter("key <> 'click'"), ["key", "dt"])})
 
 
+@register("multiset_parity", f"""WITH a AS ({_STATE}), l AS (SELECT key, state FROM a), r AS (SELECT key, state FROM a WHERE dt > DATE '2024-01-10' UNION ALL SELECT key, state FROM a WHERE dt > DATE '2024-01-25')
+  SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)""")
+def multiset_parity(spark, sf_dir):
+    """EXCEPT ALL both ways: the later states, some of them twice, against all."""
+    a = _states(spark, sf_dir)
+    pick = lambda day: a.filter(F.col("dt") > F.lit(day).cast("date")).select("key", "state")
+    return O.multiset_parity(a.select("key", "state"), pick("2024-01-10").union(pick("2024-01-25")))
+
+
 @register("daily_parity", f"""SELECT dt, CAST(count(*) FILTER (WHERE key = 'click' AND day(dt) <= 3) AS BIGINT) AS differences FROM ({_PANEL}) GROUP BY dt""")
 def daily_parity(spark, sf_dir):
     a = daily_panel(spark, sf_dir)
@@ -163,9 +243,7 @@ def daily_parity(spark, sf_dir):
 @register("date_parse", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS dt FROM orders""")
 def date_parse(spark, sf_dir):
     """Three layouts and a bad one, back to dates."""
-    d = F.col("o_orderdate")
     text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'yyyyMMdd') WHEN 2 THEN date_format(o_orderdate, 'dd/MM/yyyy') ELSE 'n/a' END")
-    assert d is not None
     return table(spark, sf_dir, "orders").select("o_orderkey", parse_date(text, ("yyyy-MM-dd", "yyyyMMdd", "dd/MM/yyyy")).alias("dt"))
 
 
@@ -187,10 +265,10 @@ def daily_ohlc(spark, sf_dir):
 
 @register("drawdown", """SELECT event_id, round(value - max(value) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) AS drawdown FROM events""")
 def drawdown(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") - F.max("value").over(w), 6).alias("drawdown"))
+    """Five keys hold all rows: the running maximum goes by slices of a day."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    top = slices.running_max(e, "event_type", "ts", ["ts"], "value", "top", 86400)
+    return top.select("event_id", F.round(F.col("value") - F.col("top"), 6).alias("drawdown"))
 
 
 @register("asof_ingest", "SELECT event_type, count(*) AS n, max(CAST(ts AS DATE)) AS last_day FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY event_type")

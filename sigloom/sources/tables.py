@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from sigloom.operators.layouts import conform
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +19,11 @@ def result_path(out_dir: str, run_id: str, name: str) -> str:
     return f"{out_dir.rstrip('/')}/{run_id}/tables/{name}"
 
 
-def write_result(df: DataFrame, out_dir: str, run_id: str, name: str) -> str:
-    """Write a result once; an existing run directory is never overwritten."""
+def write_result(df: DataFrame, out_dir: str, run_id: str, name: str, schema: StructType | None = None) -> str:
+    """Write a result once; an existing run directory is never overwritten. With a
+    schema the table is checked against it and has its columns only."""
     path = result_path(out_dir, run_id, name)
-    df.write.mode("errorifexists").parquet(path)
+    (df if schema is None else conform(df, schema)).write.mode("errorifexists").parquet(path)
     return path
 
 

@@ -48,3 +48,18 @@ def test_open_sessions_are_withheld(spark):
     batch = QUERIES["session_windows"](spark, SF)
     assert streamed.exceptAll(batch.select(*streamed.columns)).isEmpty()
     assert 0 < streamed.count() <= batch.count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("hint", "node"), [("merge", "SortMergeJoin"), ("shuffle_hash", "ShuffledHashJoin"), ("broadcast", "BroadcastHashJoin"), ("shuffle_replicate_nl", "CartesianProduct")])
+def test_hints_choose_the_join(spark, hint, node):
+    assert node in plan_of(QUERIES[f"join_hint_{hint}"](spark, SF))
+
+
+def test_late_rows_are_missing(spark, con):
+    """The stream that drops late rows counts fewer than the one that has none."""
+    total = lambda name: sum(r.n for r in QUERIES[name](spark, SF).collect())
+    assert total("stream_late") < total("stream_hourly_append")

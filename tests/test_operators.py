@@ -110,3 +110,67 @@ def test_package_runs_in_order_and_is_checked(spark, tmp_path, sf):
     assert seen == ["daily_panel", "three_state"] * 2
     report = package.check_package(spark, str(tmp_path), "today", "golden", {n: ["key", "dt"] for n in ("daily_panel", "three_state")})
     assert {(r["table"], r["differences"], r["verdict"]) for r in report.collect()} == {("daily_panel", 0, "PASS"), ("three_state", 0, "PASS")}
+
+
+def test_slices_equal_plain_windows(spark):
+    from pyspark.sql import Window
+
+    from sigloom.operators import slices
+
+    r = random.Random(3)
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(i, r.choice(["a", "b", None]), t0 + datetime.timedelta(minutes=37 * i) if i % 50 else None, r.choice([None, r.random()])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz, v double")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = df.select("id", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("top"), (F.row_number().over(w) - 1).alias("no"), F.sum("v").over(w.rowsBetween(-6, 0)).alias("s"))
+    got = slices.running_max(df, "k", "ts", ["ts", "id"], "v", "top", 7200)
+    got = slices.numbered(got, "k", "ts", ["ts", "id"], "no", 7200)
+    got = slices.rolling_rows(got, "k", "ts", ["ts", "id"], 7, F.sum("v"), "s", 7200, chunk=10)
+    near = lambda rows: sorted((x.id, x.top, x.no, x.s and round(x.s, 9)) for x in rows)
+    assert near(got.collect()) == near(want.collect())
+
+
+def test_sliced_fold_and_null_keys(spark):
+    """Short slices change nothing, and a null key is a key."""
+    r = random.Random(8)
+    df = states(spark, [r.choice([None, -1, 0, 1]) for _ in range(300)]).union(states(spark, [1, 0, 0, 0, -1], None))
+    for hold in (1, 4):
+        short = sorted(map(str, S.holding_positions(df, hold, slice_days=5).collect()))
+        assert short == sorted(map(str, S.holding_positions_long(df, hold).collect())) and len(short) == 305
+
+
+def test_parity_with_names_of_its_own(spark):
+    a = spark.createDataFrame([(1, 2, "x", None), (None, 2, "y", 1)], "copy int, in_l int, difference string, l_copy int")
+    b = spark.createDataFrame([(1, 3, "x", None), (None, 2, "y", 1)], "copy int, in_l int, difference string, l_copy int")
+    out = O.parity(a, b, ["copy"])
+    assert out.columns == ["copy", "copy_", "difference"] and [tuple(r) for r in out.collect()] == [(1, 1, "in_l")]
+
+
+def test_merge_and_as_of_with_null_keys(spark):
+    a = spark.createDataFrame([(None, 1), (2, 5)], "k int, v int")
+    b = spark.createDataFrame([(None, 7), (3, 6)], "k int, v int")
+    assert sorted(map(str, O.merge_signals({"x": a, "y": b, "z": b}, ["k"], "v").collect())) == sorted(["Row(k=None, x=1, y=7, z=7)", "Row(k=2, x=5, y=None, z=None)", "Row(k=3, x=None, y=6, z=6)"])
+    left = spark.createDataFrame([(None, 5, 1), (1, 10**7, 2), (1, None, 3)], "k int, t int, id int")
+    right = spark.createDataFrame([(None, 1, 8), (1, 4, 9), (1, 10**7 + 1, 7)], "k int, t int, v int")
+    assert {r.id: r.asof_v for r in O.as_of(left, right, "k", "t", "t", ["v"]).collect()} == {1: None, 2: 9, 3: None}
+
+
+def test_layouts_refuse_other_tables(spark):
+    from sigloom.operators.layouts import COMPACT, conform
+
+    df = spark.createDataFrame([("a", 1)], "key string, state long")
+    try:
+        conform(df, COMPACT)
+    except ValueError as e:
+        assert "state: bigint, not int" in str(e) and "dt: missing" in str(e)
+    else:
+        raise AssertionError("a table without the layout's columns was taken")
+
+
+def test_report_is_one_page(spark, tmp_path):
+    from sigloom.plans import reports
+
+    df = spark.createDataFrame([("b|<", 2), ("a", 1)], "name string, n int")
+    page = reports.read_report(spark, reports.write_report(reports.html_lines(df, ["name"], "T & t"), f"{tmp_path}/html"))
+    assert page.index("<td>a</td>") < page.index("<td>b|&lt;</td>") < page.index("</table>") and "T &amp; t" in page
+    assert [r.line for r in reports.markdown_lines(df, ["name"]).orderBy("line_no").collect()] == ["| name | n |", "|-|-|", "| a | 1 |", "| b\\|< | 2 |"]
