@@ -1,10 +1,11 @@
 """Vectorised byte, word and window arithmetic on Arrow text columns.
 
 Texts are handled as UTF-8 bytes in pieces of bounded size (one document may
-exceed the bound; memory then follows that document). All hashes are modulo
-2**64: a polynomial over seeded random byte (or word) codes with an odd base,
-finished by an avalanche step. They are equal on equal content wherever it
-stands, on every machine.
+exceed the bound; memory then follows that document). Words are hashed from
+their bytes, eight at a time, by avalanche steps. Windows of many items have
+polynomials modulo 2**64 over the items' random values; those can collide on
+made-up regular sequences, so they only lead to candidates, whose items are then
+compared. All are equal on equal content wherever it stands, on every machine.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
@@ -83,6 +85,34 @@ def window_hash(sums: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
     return mix((sums[length:] - sums[:n]) * _POWERS[seed].down(n) + U64(length))
 
 
+_LONG = 64  # bytes; longer words are hashed one by one
+
+
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Hash of each span's bytes. Up to eight bytes, spans of one length that differ
+    have different hashes."""
+    size = ends - starts
+    h = mix(size.astype(U64) + U64(seed << 32))
+    if not len(h):
+        return h
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    live, at = slice(None), 0
+    while at < _LONG:
+        left = size[live] - at
+        part = eight[np.minimum(starts[live] + at, len(buf))]
+        short = np.minimum(left, 8).clip(0).astype(U64) * U64(8)
+        part = np.where(left < 8, part & ((U64(1) << (short & U64(63))) - U64(1)), part)
+        h[live] = mix(h[live] ^ part * U64(0x9E3779B97F4A7C15))
+        at += 8
+        live = np.flatnonzero(size > at) if at == 8 else live[size[live] > at]
+        if not len(live):
+            return h
+    for i in live.tolist():
+        h[i] = xxhash.xxh64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed)
+    return h
+
+
 def byte_sums(buf: np.ndarray, seed: int = 1) -> np.ndarray:
     return prefix_sums(_BYTE_CODES[seed][buf], seed)
 

@@ -1,14 +1,13 @@
 """Removing repeated word windows with compressed FM-indexes.
 
 A window is LENGTH words; each word of a window whose words also start anywhere
-else goes, in every copy. Repeats are brought together by anchors (see
-`repeats`); contexts that repeat as a whole are settled by their hash. The others
-of a shard are indexed: words become the shard's own alphabet, its text the
-Burrows-Wheeler transform in a wavelet tree. The shard's contexts are then
+else goes, in every copy. Windows are dealt out so that all equal ones are in one
+shard (see `repeats`; windows that no other can equal are left out). A shard's
+words become its own alphabet, told apart by their bytes, and its text the
+Burrows-Wheeler transform in a wavelet tree. The documents' contexts are then
 streamed through backward search, which gives each place's matching statistic,
 the longest string ending there that the index holds twice or more; where it
-reaches LENGTH, the window is reported. Equal windows share an anchor, so a
-shard's index holds every context that its windows can equal.
+reaches LENGTH, the window is reported.
 
 Defined results: null text has no words; texts under LENGTH words stay whole; a
 null doc_id is an id of its own; rows with one id and equal texts are one
@@ -27,45 +26,58 @@ from sigloom.llm import arrays as A
 from sigloom.llm import repeats as R
 from sigloom.llm.fm_index import FMIndex
 
-LENGTH, GRAM = 35, 8
-SHARD_BYTES = 2_000_000  # of 8-byte words
+LENGTH, GRAM = 35, 14
+SHARD_BYTES = 1_000_000
 
 
 def _words_as_items(buf, offs):
     starts, ends, rows = A.word_spans(buf, offs, A.BLANK)
-    return A.span_hash(A.byte_sums(buf, 1), starts, ends, 1), rows
+    return A.word_hash(buf, starts, ends), rows
 
 
-def shape(length: int = LENGTH, gram: int = GRAM) -> R.Shape:
-    return R.Shape(_words_as_items, length, gram, keep_first=False)
-
-
-def repeated_windows(shard: list, length: int) -> list[np.ndarray]:
-    """Of each context's windows, which occur twice or more in the shard."""
-    words = np.frombuffer(b"".join(r[6] for r in shard), np.uint64)
-    sizes = np.array([len(r[6]) // 8 for r in shard])
-    symbol = np.unique(words, return_inverse=True)[1] + 1  # 0 parts the contexts
-    base = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text = np.zeros(base[-1], dtype=np.int64)
-    inside = np.ones(base[-1], dtype=bool)
-    inside[base[1:] - 1] = False
-    text[inside] = symbol
-    index = FMIndex(text)
-    # Contexts that repeat as a whole are done; they are only searched in.
-    open_ = [b + length + np.arange(r[4]) for b, r in zip(base.tolist(), shard) if not r[5]]
-    twice = np.zeros(len(text) + 1, dtype=bool)
-    if open_:
-        ends = np.concatenate(open_)
-        twice[ends - length] = index.matching_statistics(np.where(inside, text, -1), ends, length) >= length
-    return [twice[b : b + r[4]] for b, r in zip(base.tolist(), shard)]
+def _word_cutter(buf, offs):
+    starts, ends, rows = A.word_spans(buf, offs, A.BLANK)
+    starts, ends, whole = starts.tolist(), ends.tolist(), buf.tobytes()
+    # Blanks of any kind become one space, so equal words are equal bytes.
+    return lambda a, b: b" ".join(whole[starts[a] : ends[b - 1]].split()), rows
 
 
-def _compare(length: int):
-    def run(batches):
-        for shard in R.by_shard(batches, SHARD_BYTES):
-            yield R.found_runs(shard, repeated_windows(shard, length))
+def _windows(length: int):
+    def of(items: bytes, n: int) -> list[bytes]:
+        words = items.split(b" ")
+        return [b" ".join(words[o : o + length]) for o in range(n)]
 
-    return run
+    return of
+
+
+def shape(length: int = LENGTH, gram: int = GRAM) -> R.Shape:
+    return R.Shape(_words_as_items, _word_cutter, _windows(length), length, gram)
+
+
+def repeated_windows(length: int):
+    """Of a shard's contents: which windows of the first occurrence, and which of a
+    later one, the index holds twice or more."""
+
+    def decide(shard: list[R.Content]):
+        # What occurs twice or more is in the index twice.
+        copies = [c for c in shard for _ in range(1 if c.lo == c.hi else 2)]
+        symbols: dict[bytes, int] = {}
+        number = [[symbols.setdefault(w, len(symbols) + 1) for w in c.items.split(b" ")] for c in copies]
+        sizes = np.array([len(x) for x in number])
+        base = np.concatenate([[0], np.cumsum(sizes + 1)])
+        text = np.zeros(base[-1], dtype=np.int64)  # 0 parts the contents
+        inside = np.ones(base[-1], dtype=bool)
+        inside[base[1:] - 1] = False
+        text[inside] = np.concatenate([np.array(x) for x in number])
+        index = FMIndex(text)
+        ends = np.concatenate([b + length + np.arange(c.n) for b, c in zip(base.tolist(), copies)])
+        twice = np.zeros(len(text) + 1, dtype=bool)
+        twice[ends - length] = index.matching_statistics(np.where(inside, text, -1), ends, length) >= length
+        masks = iter([twice[b : b + c.n] for b, c in zip(base.tolist(), copies)])
+        none = np.zeros(0, dtype=bool)
+        return [(next(masks), none if c.lo == c.hi else next(masks)) for c in shard]
+
+    return decide
 
 
 def _cut_out(length: int):
@@ -96,9 +108,7 @@ def _cut_out(length: int):
 
 def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = R.HOT) -> DataFrame:
     """(k, t, start, n): all runs of windows that occur elsewhere too."""
-    how = shape(length, gram)
-    runs = R.gather(docs, how).df
-    return runs.filter("anchor IS NULL").select("k", "t", "start", "n").union(R.compared(docs, runs, how, False, _compare(length), hot))
+    return R.found_runs(docs, shape(length, gram), repeated_windows(length), SHARD_BYTES, hot)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = R.HOT) -> DataFrame:

@@ -1,24 +1,23 @@
-"""Repeats of long windows, brought together without sorting all of the corpus.
-
-Items are bytes or word hashes; a window is `length` consecutive items of one
-document. Every window has an anchor: the smallest hash of the grams (`gram`
-items) inside it, the leftmost of equals. Equal windows have equal anchors at
-equal places, so a window can only repeat where its anchor does, and all copies
-of a window meet under one anchor. Neighbouring windows share anchors: n items
-have about 2 n / (length - gram + 2). The windows in a row with one anchor are a
-context, known by its first window, their number and a hash of all its content.
-
-1. `gather` scans the documents and deals their contexts out by anchor, as packed
-   arrays pre-aggregated in each flush: equal contexts become one entry, so a
-   group of copies costs an anchor's shard one entry from each flush.
-2. `_settle` finds, shard by shard, contexts whose whole content repeats: those
-   windows are done. Anchors with different contents are left: one
-   representative of each content is asked for.
-3. `contexts` cuts the representatives' content out of their documents and deals
-   it out by anchor again; the caller's index (suffix array, FM-index) compares
-   the windows within a shard. Anchors with very many contexts are compared by
-   window hashes instead (see `compared`).
-4. `marked` joins all found window runs back to the documents.
+"""Repeats of long windows: each window is routed to an index that decides.
+
+Items are bytes or words; a window is `length` consecutive items of one document.
+Every window has an anchor: the smallest hash of the grams (`gram` items) inside
+it, the leftmost of equals. Equal windows have equal anchors at equal places, so
+a window can only repeat where its anchor does, and all copies of a window meet
+under one anchor. The windows in a row with one anchor are a context. Anchors and
+hashes only say which shard a window goes to; whether it repeats is decided there
+by the caller's index (suffix array, FM-index) on the items themselves.
+
+1. `gather` scans the documents and finds the anchors that stand in two places or
+   more. A task sends each anchor once, so a hot one costs a row for each flush.
+2. `cut` cuts the contexts of those anchors out of their documents. A task sends
+   equal contents once, with their first and last place; all places are kept aside.
+3. `_verdicts` brings contents together by anchor, in shards. Of each content the
+   shard's index holds the first occurrence and, if there are more, the last, so it
+   decides on the first and for all later ones. Anchors with more than HOT different
+   contents (the edges of a very common passage) are dealt out by whole windows.
+4. Verdicts are joined to all places (hot contents are split by adaptive execution),
+   and `marked` joins the runs of windows back to the documents.
 
 A document is told by its id and a hash of its text, so rows with one id and
 different texts are different documents and repeated rows are the same one (all
@@ -32,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,21 +40,26 @@ from sigloom.llm.store import Kept, partitions_for
 
 NO_ID = -(1 << 63)
 FLUSH = 1 << 17  # contexts that a task holds before it deals them out
+#: Anchors with more different contents than this are dealt out by whole windows.
+HOT = 5000
 _PLACE = A.U64((1 << 32) - 1)
 
-ENTRY = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("text", "<i4"), ("start", "<u4"), ("n", "<u2"), ("many", "u1")])
+ENTRY = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("text", "<i4"), ("start", "<u4"), ("n", "<u2"), ("asked", "u1")])
 
 
 @dataclass(frozen=True)
 class Shape:
     """How documents become items, and which repeats are looked for.
 
-    items: (bytes, row offsets) -> (64-bit value of each item, rows' offsets)."""
+    items: (bytes, row offsets) -> (64-bit value of each item, rows' offsets)
+    cutter: (bytes, row offsets) -> a function that gives items a..b as bytes
+    windows: (content, n) -> the bytes of its n windows"""
 
     items: Callable
+    cutter: Callable
+    windows: Callable
     length: int
     gram: int
-    keep_first: bool  # the first of equal windows stays
     piece: int = A.PIECE_BYTES  # bytes handled at once; about 100 times that in memory for byte items
 
     @property
@@ -74,13 +79,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(values: np.ndarray, rows: np.ndarray, shape: Shape):
-    """The contexts of a piece: anchor, content, place and number of windows,
-    document's row."""
+    """The contexts of a piece: anchor, place and number of windows, document's row."""
     none = np.empty(0, np.int64)
     if len(values) < shape.length:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
-    sums = A.prefix_sums(values, 2)
-    hashes = A.window_hash(sums, shape.gram, 2)
+        return none.view(np.uint64), none, none, none
+    hashes = A.window_hash(A.prefix_sums(values, 2), shape.gram, 2)
     # The order of hashes that agree in their upper half is that of their places.
     low = sliding_min((hashes & ~_PLACE) | np.arange(len(hashes), dtype=A.U64), shape.reach)
     at = (low & _PLACE).astype(np.int64)
@@ -90,35 +93,18 @@ def anchor_runs(values: np.ndarray, rows: np.ndarray, shape: Shape):
     start[1:] &= turn | ~inside[:-1]
     stop[:-1] &= turn | ~inside[1:]
     first, last = np.flatnonzero(start), np.flatnonzero(stop)
-    anchor = at[first]
-    # Where the anchor stands in its context is part of what tells contexts apart.
-    content = A.mix(A.span_hash(sums, first, last + shape.length, 2) + (anchor - first).astype(A.U64))
-    return hashes[anchor], content, first, last - first + 1, np.searchsorted(rows, first, side="right") - 1
+    return hashes[at[first]], first, last - first + 1, np.searchsorted(rows, first, side="right") - 1
 
 
-def _order(e: np.ndarray) -> np.ndarray:
-    """By anchor, content, then document and place."""
-    return np.lexsort((e["start"], e["text"], e["doc"], e["content"], e["anchor"]))
-
-
-def _repeated(e: np.ndarray) -> np.ndarray:
+def _as_before(e: np.ndarray, *names: str) -> np.ndarray:
     """Of entries in order, the mask of those equal to the one before."""
     same = np.zeros(len(e), dtype=bool)
-    same[1:] = (e["anchor"][1:] == e["anchor"][:-1]) & (e["content"][1:] == e["content"][:-1])
+    same[1:] = True
+    for c in names:
+        same[1:] &= e[c][1:] == e[c][:-1]
     return same
 
 
-def _once(e: np.ndarray) -> np.ndarray:
-    """Of entries in order, those of repeated rows of a document once."""
-    if not len(e):
-        return e
-    again = _repeated(e)
-    again[1:] &= (e["doc"][1:] == e["doc"][:-1]) & (e["text"][1:] == e["text"][:-1]) & (e["start"][1:] == e["start"][:-1])
-    first = ~again
-    e["many"] = _spread(e["many"] > 0, first)
-    return e[first]
-
-
 def _in_groups(same: np.ndarray) -> np.ndarray:
     """Mask of the entries that equal a neighbour."""
     both = same.copy()
@@ -126,32 +112,24 @@ def _in_groups(same: np.ndarray) -> np.ndarray:
     return both
 
 
-def _blob(kind: int, bucket: int, part: np.ndarray) -> tuple[int, int, bytes]:
-    return bucket, kind, part.tobytes()
-
-
-def _rows(rows: list, names=("bucket", "kind", "blob")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], list(names))
-
-
-def _deal(e: np.ndarray, shards: int, keep_first: bool) -> pa.RecordBatch:
-    """One entry of each context, by shard, and the runs that are settled here."""
-    e = _once(e[_order(e)])
-    same = _repeated(e)
-    settled = e[same if keep_first else _in_groups(same)]
-    many = np.zeros(len(e), dtype=bool)
-    many[:-1] = same[1:]
-    e["many"] |= many
-    e = e[~same]
+def _deal(e: np.ndarray, shards: int) -> pa.RecordBatch:
+    """One entry of each anchor, by shard (kind 0); where the flush has several, its
+    anchor is known to repeat and all of them are asked for at once (kind 1)."""
+    e = e[np.lexsort((e["start"], e["text"], e["doc"], e["anchor"]))]
+    e = e[~_as_before(e, "anchor", "doc", "text", "start")]  # repeated rows of a document
+    again = _as_before(e, "anchor")
+    known = e[_in_groups(again)]
+    e["asked"] = _in_groups(again)
+    e = e[~again]
     # Anchors are minima, so their own values crowd at the low end; mixed they don't.
     bucket = ((A.mix(e["anchor"]) >> A.U64(32)) * A.U64(shards) >> A.U64(32)).astype(np.int64)
     turn = np.argsort(bucket, kind="stable")
     e, bucket = e[turn], bucket[turn]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    out = [_blob(0, int(bucket[a]), e[a:b]) for a, b in zip([0, *cuts], [*cuts, len(e)])] if len(e) else []
-    for a in range(0, len(settled), 1 << 14):
-        out.append(_blob(1, int(A.mix(settled["anchor"][a : a + 1])[0]) % shards, settled[a : a + (1 << 14)]))
-    return _rows(out)
+    out = [(int(bucket[a]), 0, e[a:b].tobytes()) for a, b in zip([0, *cuts], [*cuts, len(e)])] if len(e) else []
+    for a in range(0, len(known), 1 << 14):
+        out.append((int(A.mix(known["anchor"][a : a + 1])[0]) % shards, 1, known[a : a + (1 << 14)].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "kind", "blob"])
 
 
 def _scan(shape: Shape, shards: int):
@@ -161,17 +139,17 @@ def _scan(shape: Shape, shards: int):
             ids, texts = batch.column("k").to_numpy(), batch.column("t").to_numpy()
             for first, _, buf, offs in A.pieces(batch, limit=shape.piece):
                 values, rows = shape.items(buf, offs)
-                anchor, content, at, count, row = anchor_runs(values, rows, shape)
+                anchor, at, count, row = anchor_runs(values, rows, shape)
                 e = np.empty(len(at), dtype=ENTRY)
-                e["anchor"], e["content"], e["start"], e["n"], e["many"] = anchor, content, at - rows[row], count, 0
+                e["anchor"], e["start"], e["n"], e["asked"] = anchor, at - rows[row], count, 0
                 e["doc"], e["text"] = ids[first + row], texts[first + row]
                 held.append(e)
                 n += len(e)
                 if n >= FLUSH:
-                    yield _deal(np.concatenate(held), shards, shape.keep_first)
+                    yield _deal(np.concatenate(held), shards)
                     held, n = [], 0
         if n:
-            yield _deal(np.concatenate(held), shards, shape.keep_first)
+            yield _deal(np.concatenate(held), shards)
 
     return run
 
@@ -181,191 +159,286 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.hash("text").alias("t"), "text")
 
 
-RUN_SCHEMA = "k long, t int, start long, n int, anchor long, many boolean"
+ASKED = "k long, t int, at long, anchor long"
 
 
-def _runs(e: np.ndarray, ask: bool) -> pa.RecordBatch:
-    anchor = pa.array(e["anchor"].view(np.int64) if ask else np.zeros(len(e), np.int64), mask=None if ask else np.ones(len(e), bool))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(e["doc"]), pa.array(e["text"]), pa.array(e["start"].astype(np.int64)), pa.array(e["n"].astype(np.int32)), anchor, pa.array(e["many"].astype(bool))],
-        ["k", "t", "start", "n", "anchor", "many"],
-    )
-
-
-def _settle(shape: Shape):
-    """A shard's entries: runs of windows that are done (null anchor), and the
-    representatives of the anchors whose contents differ."""
-
-    def run(batches):
-        held = []
-        for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob")):
-                e = np.frombuffer(blob.as_buffer(), dtype=ENTRY)
-                if kind:
-                    yield _runs(e, False)
-                else:
-                    held.append(e)
-        if not held:
-            return
-        e = np.concatenate(held)
-        held.clear()
-        e = e[np.argsort(e["anchor"], kind="stable")]
-        again = np.zeros(len(e), dtype=bool)
-        again[1:] = e["anchor"][1:] == e["anchor"][:-1]
-        e = e[_in_groups(again)]
-        e = _once(e[_order(e)])
-        same = _repeated(e)
-        yield _runs(e[same if shape.keep_first else _in_groups(same)], False)
-        many = np.zeros(len(e), dtype=bool)
-        many[:-1] = same[1:]
-        e["many"] |= _spread(many | (e["many"] > 0), ~same)
-        e = e[~same]
-        again = np.zeros(len(e), dtype=bool)
-        again[1:] = e["anchor"][1:] == e["anchor"][:-1]
-        yield _runs(e[_in_groups(again)], True)
-
-    return run
+def _asks(e: np.ndarray) -> pa.RecordBatch:
+    """at: the first window and their number (below 2**16) in one value."""
+    at = (e["start"].astype(np.int64) << 16) | e["n"].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(e["doc"]), pa.array(e["text"]), pa.array(at), pa.array(e["anchor"].view(np.int64) if len(e) else np.empty(0, np.int64))], ["k", "t", "at", "anchor"])
 
 
-def _spread(mask: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each group (from one start to the next): whether any of it is marked."""
-    if not len(mask):
-        return mask
-    group = np.cumsum(starts) - 1
-    return (np.bincount(group, mask) > 0)[group]
+def _repeated(batches):
+    """A shard's entries: those whose anchor stands elsewhere too."""
+    held = []
+    for batch in batches:
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob")):
+            e = np.frombuffer(blob.as_buffer(), dtype=ENTRY)
+            if kind:
+                yield _asks(np.ascontiguousarray(e))
+            else:
+                held.append(e)
+    if not held:
+        return
+    e = np.concatenate(held)
+    held.clear()
+    e = e[np.argsort(e["anchor"], kind="stable")]
+    yield _asks(e[_in_groups(_as_before(e, "anchor")) & (e["asked"] == 0)])
 
 
 def gather(docs: DataFrame, shape: Shape) -> Kept:
-    """Steps 1 and 2: window runs that are done, and representatives to compare."""
+    """Step 1: ASKED rows, the contexts whose anchors stand in several places."""
     shards = partitions_for(docs, 24 << 20)
     dealt = keyed(docs).mapInArrow(_scan(shape, shards), "bucket int, kind int, blob binary")
     # Buckets are even by construction; hashing their numbers would pile some up.
-    return Kept(dealt.repartitionById(shards, "bucket").mapInArrow(_settle(shape), RUN_SCHEMA), "runs")
+    return Kept(dealt.repartitionById(shards, "bucket").mapInArrow(_repeated, ASKED), "asked")
 
 
-CONTEXT_SCHEMA = "anchor long, k long, t int, start long, n int, many boolean, items binary"
+def _spread(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """By document, in more partitions than the session's where its are too few."""
+    n = partitions_for(docs)
+    return df.repartition(n, "k", "t") if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def _cut(shape: Shape, as_bytes: bool):
-    """Contents of the asked contexts: bytes as they are, other items as 8 bytes."""
+#: Contents (with items, first and last place) and places (without items).
+CUT = "anchor long, c1 long, c2 long, n int, items binary, k long, t int, s long, k2 long, t2 int, s2 long"
+_CUT_TYPES = (*[pa.int64()] * 3, pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+_CUT_NAMES = [c.split()[0] for c in CUT.split(", ")]
 
-    def run(batches):
-        for batch in batches:
-            asks = batch.column("asks")
-            ks, ts = batch.column("k").to_pylist(), batch.column("t").to_pylist()
-            for first, last, buf, offs in A.pieces(batch, limit=shape.piece):
-                values, rows = (buf, offs) if as_bytes else shape.items(buf, offs)
-                out = {c: [] for c in ("anchor", "k", "t", "start", "n", "many", "items")}
-                for d in range(first, last):
-                    base = rows[d - first]
-                    for x in asks[d].as_py():
-                        a = base + x["start"]
-                        out["anchor"].append(x["anchor"])
-                        out["k"].append(ks[d])
-                        out["t"].append(ts[d])
-                        out["start"].append(x["start"])
-                        out["n"].append(x["n"])
-                        out["many"].append(x["many"])
-                        out["items"].append(values[a : a + x["n"] + shape.length - 1].tobytes())
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
-    return run
+def _content_id(items: bytes) -> tuple[int, int]:
+    raw = xxhash.xxh3_128_digest(items)
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
 
+def _batch(columns: list, types, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-def _cut_windows(shape: Shape):
-    """Two hashes of each window of the asked contexts, and its place."""
+
+def _cut(shape: Shape):
+    def rows(found: dict) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in _CUT_NAMES]
+        for items, (anchor, n, places) in found.items():
+            ids = _content_id(items)
+            lo, hi = min(places), max(places)
+            m = len(places)
+            for c, v in zip(out, (anchor, *ids, n, items, *lo, *hi)):
+                c.append(v)
+            ks, ts, ss = zip(*places)
+            for c, v in zip(out, ([None] * m, [ids[0]] * m, [ids[1]] * m, [n] * m, [None] * m, ks, ts, ss, [None] * m, [None] * m, [None] * m)):
+                c.extend(v)
+        return _batch(out, _CUT_TYPES, _CUT_NAMES)
 
     def run(batches):
+        found: dict = {}
+        held = 0
         for batch in batches:
-            asks, ks, ts = batch.column("asks"), batch.column("k").to_pylist(), batch.column("t").to_pylist()
+            ks, ts = batch.column("k").to_pylist(), batch.column("t").to_pylist()
+            lists = batch.column("asks")
             for first, last, buf, offs in A.pieces(batch, limit=shape.piece):
-                values, rows = shape.items(buf, offs)
-                one = A.window_hash(A.prefix_sums(values, 2), shape.length, 2).view(np.int64)
-                two = A.window_hash(A.prefix_sums(A.mix(values ^ A.U64(0x51ED270B0F3A9D27)), 3), shape.length, 3).view(np.int64)
+                get, base = shape.cutter(buf, offs)
                 for d in range(first, last):
-                    start = np.concatenate([x["start"] + np.arange(x["n"]) for x in asks[d].as_py()])
-                    at = rows[d - first] + start
-                    n = len(at)
-                    cols = [pa.array(one[at]), pa.array(two[at]), pa.array(np.full(n, ks[d])), pa.array(np.full(n, ts[d], np.int32)), pa.array(start.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, ["w1", "w2", "k", "t", "start"])
+                    own = lists[d].values
+                    ats, anchors = own.field(0).to_pylist(), own.field(1).to_pylist()
+                    k, t, b = ks[d], ts[d], int(base[d - first])
+                    for at, anchor in zip(ats, anchors):
+                        s, n = at >> 16, at & 0xFFFF
+                        items = get(b + s, b + s + n + shape.length - 1)
+                        had = found.get(items)
+                        if had is None:
+                            found[items] = (anchor, n, {(k, t, s)})
+                        else:
+                            had[2].add((k, t, s))
+                    held += len(ats)
+                if held >= FLUSH:
+                    yield rows(found)
+                    found, held = {}, 0
+        if found:
+            yield rows(found)
 
     return run
 
 
-#: Anchors with more contexts than this are compared window by window instead.
-HOT = 2000
+def cut(docs: DataFrame, asked: DataFrame, shape: Shape) -> Kept:
+    """Step 2: CUT rows."""
+    lists = _spread(asked, docs).groupBy("k", "t").agg(F.collect_list(F.struct("at", "anchor")).alias("asks"))
+    return Kept(_spread(keyed(docs), docs).join(lists, ["k", "t"]).mapInArrow(_cut(shape), CUT), "contents")
 
 
-def _asked(docs: DataFrame, asks: DataFrame) -> DataFrame:
-    lists = asks.groupBy("k", "t").agg(F.collect_list(F.struct("start", "n", "anchor", "many")).alias("asks"))
-    return keyed(docs).join(lists, ["k", "t"])
+@dataclass
+class Content:
+    """One of a shard's different contents, with its first and last place."""
 
+    key: tuple
+    n: int
+    items: bytes
+    lo: tuple
+    hi: tuple
 
-def compared(docs: DataFrame, runs: DataFrame, shape: Shape, as_bytes: bool, compare: Callable, hot: int = HOT) -> DataFrame:
-    """FOUND_SCHEMA runs of the representatives' windows. `compare` is the index of
-    a shard. An anchor with more than `hot` contexts (the edge of a very common
-    passage) would make one shard large; its windows are grouped by two 64-bit
-    hashes instead, pre-aggregated before the shuffle, which is exact as well and
-    has no largest group."""
-    asks = runs.filter("anchor IS NOT NULL")
-    often = Kept(asks.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"), "hot").df
-    few = asks.join(often, "anchor", "left_anti")
-    found = Kept(contexts(docs, few, shape, as_bytes).mapInArrow(compare, FOUND_SCHEMA), "found").df
-    if often.isEmpty():
-        return found
-    windows = Kept(_asked(docs, asks.join(often, "anchor", "left_semi")).mapInArrow(_cut_windows(shape), "w1 long, w2 long, k long, t int, start long"), "windows").df
-    place = F.struct("k", "t", "start")
-    groups = windows.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").drop("hi")
-    hits = windows.join(groups, ["w1", "w2"])
-    if shape.keep_first:
-        hits = hits.filter(place != F.col("lo"))
-    return found.union(hits.select("k", "t", "start", F.lit(1).alias("n")))
 
+VERDICT = "c1 long, c2 long, first boolean, k long, t int, s long, off int, m int"
+_VERDICT_TYPES = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+_VERDICT_NAMES = [c.split()[0] for c in VERDICT.split(", ")]
 
-def contexts(docs: DataFrame, asks: DataFrame, shape: Shape, as_bytes: bool) -> DataFrame:
-    """Step 3: CONTEXT_SCHEMA rows, dealt out by anchor and in its order."""
-    shards = partitions_for(docs, 24 << 20)
-    cut = _asked(docs, asks).mapInArrow(_cut(shape, as_bytes), CONTEXT_SCHEMA)
-    return cut.repartition(shards, "anchor").sortWithinPartitions("anchor", "k", "t", "start")
+
+def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
+    return [(a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def by_shard(batches, limit: int):
-    """Sorted CONTEXT_SCHEMA rows in lists of about `limit` bytes of content; an
-    anchor's contexts stay together, repeated rows of a document come once."""
-    held, size, before = [], 0, None
+def shards_of(batches, limit: int):
+    """CUT rows in order of their anchors, as lists of Content of about `limit`
+    bytes; an anchor's contents stay together. Equal ids must mean equal items."""
+    held: dict = {}
+    size, before = 0, None
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("anchor", "k", "t", "start", "n", "many", "items")]
-        for row in zip(*cols):
-            if before is not None and row[:5] == before[:5]:
+        for anchor, c1, c2, n, items, k, t, s, k2, t2, s2 in zip(*(batch.column(c).to_pylist() for c in _CUT_NAMES)):
+            if anchor != before and size >= limit:
+                yield list(held.values())
+                held, size = {}, 0
+            before = anchor
+            lo, hi = (k, t, s), (k2, t2, s2)
+            had = held.get((c1, c2))
+            if had is None:
+                held[(c1, c2)] = Content((c1, c2), n, items, lo, hi)
+                size += len(items)
                 continue
-            if size >= limit and row[0] != before[0]:
-                yield held
-                held, size = [], 0
-            held.append(row)
-            size += len(row[6])
-            before = row
+            if had.items != items:
+                raise ValueError("two contents have one 128-bit hash")
+            had.lo, had.hi = min(had.lo, lo), max(had.hi, hi)
     if held:
-        yield held
+        yield list(held.values())
 
 
-def found_runs(shard: list, wanted: list[np.ndarray]) -> pa.RecordBatch:
-    """Runs of the windows that a shard's index marked, context by context."""
-    k, t, start, n = [], [], [], []
-    for row, mask in zip(shard, wanted):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            k.append(row[1])
-            t.append(row[2])
-            start.append(row[3] + a)
-            n.append(b - a)
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(t, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int32())], ["k", "t", "start", "n"])
+def _decide(decide: Callable, limit: int):
+    """decide: list of Content -> a pair of masks of each one's windows, for its
+    first occurrence and for the later ones."""
 
+    def run(batches):
+        for shard in shards_of(batches, limit):
+            out: list[list] = [[] for _ in _VERDICT_NAMES]
+            for c, (one, rest) in zip(shard, decide(shard)):
+                for first, mask in ((True, one), (False, rest)):
+                    for a, m in _runs(mask):
+                        for col, v in zip(out, (*c.key[:2], first, *c.lo, a, m)):
+                            col.append(v)
+            yield _batch(out, _VERDICT_TYPES, _VERDICT_NAMES)
+
+    return run
+
+
+def _window_hashes(shape: Shape):
+    """(w, twice, c1, c2, off): the windows of hot contents."""
+
+    def run(batches):
+        for batch in batches:
+            w, twice, c1, c2, off = [], [], [], [], []
+            for a, b, n, items, many in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "n", "items", "many"))):
+                w += [xxhash.xxh64_intdigest(x) for x in shape.windows(items, n)]
+                twice += [many] * n
+                c1 += [a] * n
+                c2 += [b] * n
+                off += range(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(w, np.uint64).view(np.int64)), pa.array(twice, pa.bool_()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(off, pa.int32())], ["w", "twice", "c1", "c2", "off"])
+
+    return run
+
+
+#: A window of a hot content, as a content of its own: c1, c2, off tell it.
+WINDOW = "anchor long, c1 long, c2 long, off int, items binary, k long, t int, s long, k2 long, t2 int, s2 long"
+_WINDOW_NAMES = [c.split()[0] for c in WINDOW.split(", ")]
+
+
+def _window_rows(shape: Shape):
+    def run(batches):
+        names = ("c1", "c2", "n", "items", "k", "t", "s", "k2", "t2", "s2", "offs")
+        for batch in batches:
+            out: list[list] = [[] for _ in _WINDOW_NAMES]
+            for c1, c2, n, items, k, t, s, k2, t2, s2, offs in zip(*(batch.column(c).to_pylist() for c in names)):
+                windows = shape.windows(items, n)
+                for o in offs:
+                    w = int(np.uint64(xxhash.xxh64_intdigest(windows[o])).view(np.int64))
+                    for col, v in zip(out, (w, c1, c2, o, windows[o], k, t, s + o, k2, t2, s2 + o)):
+                        col.append(v)
+            yield _batch(out, _CUT_TYPES, _WINDOW_NAMES)
+
+    return run
+
+
+def _decide_windows(decide: Callable, limit: int):
+    """As _decide, for single windows: equal ones are told apart by their content."""
+
+    def run(batches):
+        held: list[Content] = []
+        size, before = 0, None
+
+        def judged():
+            # Equal windows of different contents: one string, all their places.
+            strings: dict = {}
+            for c in held:
+                had = strings.setdefault(c.items, Content((), 1, c.items, c.lo, c.hi))
+                had.lo, had.hi = min(had.lo, c.lo), max(had.hi, c.hi)
+            verdict = {s: (bool(a[0]), bool(b[0]), v.lo) for (s, v), (a, b) in zip(strings.items(), decide(list(strings.values())))}
+            out: list[list] = [[] for _ in _VERDICT_NAMES]
+            for c in held:
+                one, rest, lo = verdict[c.items]
+                c1, c2, off = c.key
+                # A content's own first place is the string's first one or a later one.
+                for first, mark in ((True, one if c.lo == lo else rest), (False, rest)):
+                    if mark:
+                        for col, v in zip(out, (c1, c2, first, c.lo[0], c.lo[1], c.lo[2] - off, off, 1)):
+                            col.append(v)
+            return _batch(out, _VERDICT_TYPES, _VERDICT_NAMES)
+
+        for batch in batches:
+            for anchor, c1, c2, off, items, k, t, s, k2, t2, s2 in zip(*(batch.column(c).to_pylist() for c in _WINDOW_NAMES)):
+                if anchor != before and size >= limit:
+                    yield judged()
+                    held, size = [], 0
+                before = anchor
+                held.append(Content((c1, c2, off), 1, items, (k, t, s), (k2, t2, s2)))
+                size += len(items)
+        if held:
+            yield judged()
 
-FOUND_SCHEMA = "k long, t int, start long, n int"
+    return run
+
+
+def _verdicts(contents: DataFrame, docs: DataFrame, shape: Shape, decide: Callable, limit: int, hot: int) -> DataFrame:
+    """Step 3: VERDICT rows, for each content the runs of its windows that go, of
+    its first occurrence and of the others."""
+    shards = partitions_for(docs, 24 << 20)
+    often = Kept(contents.groupBy("anchor").agg(F.count_distinct("c1").alias("n")).filter(F.col("n") > hot).select("anchor"), "often")
+    few = contents.join(often.df, "anchor", "left_anti").select(*_CUT_NAMES)
+    by_anchor = few.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_decide(decide, limit), VERDICT)
+    if often.df.isEmpty():
+        return by_anchor
+    place = lambda f, *c: f(F.struct(*c))
+    much = contents.join(often.df, "anchor", "left_semi").groupBy("c1", "c2")
+    much = much.agg(F.first("n").alias("n"), F.first("items").alias("items"), place(F.min, "k", "t", "s").alias("lo"), place(F.max, "k2", "t2", "s2").alias("hi"))
+    much = Kept(much.select("c1", "c2", "n", "items", "lo.*", "hi.*"), "hot").df
+    many = ~(F.struct("k", "t", "s") == F.struct("k2", "t2", "s2"))
+    hashes = Kept(much.select("c1", "c2", "n", "items", many.alias("many")).mapInArrow(_window_hashes(shape), "w long, twice boolean, c1 long, c2 long, off int"), "windows").df
+    again = hashes.groupBy("w").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 OR twice").select("w")
+    offs = hashes.join(again, "w").groupBy("c1", "c2").agg(F.collect_list("off").alias("offs"))
+    windows = much.join(offs, ["c1", "c2"]).mapInArrow(_window_rows(shape), WINDOW)
+    by_window = windows.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_decide_windows(decide, limit), VERDICT)
+    return by_anchor.union(by_window)
+
+
+def found_runs(docs: DataFrame, shape: Shape, decide: Callable, limit: int, hot: int = HOT) -> DataFrame:
+    """(k, t, start, n): the runs of windows that `decide` marks."""
+    asked = gather(docs, shape)
+    pieces = cut(docs, asked.df, shape)
+    asked.drop()
+    contents, places = pieces.df.filter("items IS NOT NULL"), pieces.df.filter("items IS NULL").select("c1", "c2", F.col("k").alias("pk"), F.col("t").alias("pt"), F.col("s").alias("ps"))
+    verdicts = Kept(_verdicts(contents, docs, shape, decide, limit, hot), "verdicts").df
+    both = places.join(verdicts, ["c1", "c2"])
+    own = F.struct("pk", "pt", "ps") == F.struct("k", "t", "s")
+    return both.filter(own == F.col("first")).select(F.col("pk").alias("k"), F.col("pt").alias("t"), (F.col("ps") + F.col("off")).alias("start"), F.col("m").alias("n"))
 
 
 def marked(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """Step 4: every row of docs with its runs (null if there are none) as `runs`."""
-    per_doc = runs.groupBy("k", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return keyed(docs).join(per_doc, ["k", "t"], "left").select("k", "text", "runs")
+    per_doc = _spread(runs, docs).groupBy("k", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return _spread(keyed(docs), docs).join(per_doc, ["k", "t"], "left").select("k", "text", "runs")

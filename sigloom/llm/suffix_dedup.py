@@ -1,13 +1,12 @@
 """Removing repeated byte strings with difference-cover suffix arrays.
 
-Each byte covered by a LENGTH-byte string that also starts earlier goes. Repeats
-are brought together by anchors (see `repeats`); contexts that repeat as a whole
-are settled by their hash, and the others are compared in suffix arrays: for each
-shard the difference-cover algorithm sorts sampled triples, recurses on their
-names and merges the remaining suffixes, and adjacent prefixes of LENGTH bytes
-are compared. Equal windows share an anchor, so each shard's array holds all
-contexts that its windows can equal: together the arrays are the slices of the
-corpus' suffix array in which a repeat can lie, and the rest is never sorted.
+Each byte covered by a LENGTH-byte string that also starts earlier goes. Suffixes
+are dealt out so that all with an equal LENGTH-byte prefix are in one shard (see
+`repeats`; suffixes that no other can equal are left out). Each shard sorts its
+suffixes by the difference-cover algorithm: sampled triples are sorted and named,
+the names are sorted in turn, and the remaining suffixes are merged in; then
+adjacent prefixes of LENGTH bytes are compared. The shards' arrays together are
+the slices of the corpus' suffix array in which a repeat can lie.
 
 Defined results: null is the empty text; texts shorter than LENGTH stay whole; a
 null doc_id comes before all others; rows with one id and equal texts are one
@@ -37,39 +36,51 @@ def _bytes_as_items(buf, offs):
     return A._BYTE_CODES[2][buf], offs
 
 
+def _byte_cutter(buf, offs):
+    whole = buf.tobytes()
+    return lambda a, b: whole[a:b], offs
+
+
 def shape(length: int = LENGTH, gram: int = GRAM) -> R.Shape:
-    return R.Shape(_bytes_as_items, length, gram, keep_first=True, piece=PIECE_BYTES)
-
-
-def later_windows(shard: list, length: int) -> list[np.ndarray]:
-    """Of each context's windows, which start earlier in another context's first
-    occurrence (or earlier in their own)."""
-    sizes = np.array([len(r[6]) for r in shard])
-    base = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text = np.full(base[-1], 256, dtype=np.int16)
-    place = np.full(base[-1], -1, dtype=np.int64)
-    # Documents by (id, text hash), then the window's place: one number in order.
-    docs = {d: i for i, d in enumerate(sorted({(r[1], r[2]) for r in shard}))}
-    for b, r in zip(base.tolist(), shard):
-        text[b : b + len(r[6])] = np.frombuffer(r[6], np.uint8)
-        place[b : b + r[4]] = (docs[(r[1], r[2])] << 34) + r[3] + np.arange(r[4])
-    order = suffix_array(text)
-    order = order[place[order] >= 0]
-    same = equal_prefixes(text, order, length)
-    late = np.zeros(len(text), dtype=bool)
-    if len(order):
+    return R.Shape(_bytes_as_items, _byte_cutter, lambda items, n: [items[o : o + length] for o in range(n)], length, gram, piece=PIECE_BYTES)
+
+
+def later_windows(length: int):
+    """Of a shard's contents: which windows of the first occurrence, and which of a
+    later one, start earlier somewhere."""
+
+    def decide(shard: list[R.Content]):
+        # The last occurrence stands for all but the first.
+        strings = [(c, p) for c in shard for p in ((c.lo,) if c.lo == c.hi else (c.lo, c.hi))]
+        sizes = np.array([len(c.items) for c, _ in strings])
+        base = np.concatenate([[0], np.cumsum(sizes + 1)])
+        text = np.full(base[-1], 256, dtype=np.int16)
+        inside = np.ones(base[-1], dtype=bool)
+        inside[base[1:] - 1] = False
+        text[inside] = np.frombuffer(b"".join(c.items for c, _ in strings), np.uint8)
+        # Documents by (id, text hash), then the window's place: one number in order.
+        docs = {d: i for i, d in enumerate(sorted({p[:2] for _, p in strings}))}
+        n = np.array([c.n for c, _ in strings])
+        starts = np.repeat(base[:-1], n) + _count_up(n)
+        place = np.full(base[-1], -1, dtype=np.int64)
+        place[starts] = np.repeat([(docs[p[:2]] << 34) + p[2] for _, p in strings], n) + _count_up(n)
+        order = suffix_array(text)
+        order = order[place[order] >= 0]
+        same = equal_prefixes(text, order, length)
         heads = np.flatnonzero(~same)
         earliest = np.minimum.reduceat(place[order], heads)
+        late = np.zeros(len(text), dtype=bool)
         late[order] = place[order] != np.repeat(earliest, np.diff(np.append(heads, len(order))))
-    return [late[b : b + r[4]] for b, r in zip(base.tolist(), shard)]
+        masks = iter([late[b : b + m] for b, m in zip(base.tolist(), n.tolist())])
+        none = np.zeros(0, dtype=bool)
+        return [(next(masks), none if c.lo == c.hi else next(masks)) for c in shard]
 
+    return decide
 
-def _compare(length: int):
-    def run(batches):
-        for shard in R.by_shard(batches, SHARD_BYTES):
-            yield R.found_runs(shard, later_windows(shard, length))
 
-    return run
+def _count_up(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... n[0] - 1, 0, 1, ... n[1] - 1, and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _cut_out(length: int):
@@ -98,9 +109,7 @@ def _cut_out(length: int):
 
 def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = R.HOT) -> DataFrame:
     """(k, t, start, n): all runs of windows that start earlier somewhere."""
-    how = shape(length, gram)
-    runs = R.gather(docs, how).df
-    return runs.filter("anchor IS NULL").select("k", "t", "start", "n").union(R.compared(docs, runs, how, True, _compare(length), hot))
+    return R.found_runs(docs, shape(length, gram), later_windows(length), SHARD_BYTES, hot)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = R.HOT) -> DataFrame:

@@ -81,3 +81,17 @@ def test_hot_anchors_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert D.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Thue-Morse words and their complements are different words."""
+    head = " ".join(f"w{i}" for i in range(34))
+    for n in (8, 64, 512, 1024, 2048):
+        rows = [(1, f"{head} {thue_morse(n)}", "s", 1), (2, f"{head} {thue_morse(n, 'b', 'a')}", "s", 1)]
+        assert got(D.deduplicate(spark.createDataFrame(rows, SCHEMA))) == slow([x[:2] for x in rows], LENGTH)
+    long = [(1, " ".join(thue_morse(1500)), "s", 1), (2, " ".join(thue_morse(1500, "b", "a")), "s", 1)]
+    assert got(D.deduplicate(spark.createDataFrame(long, SCHEMA))) == slow([x[:2] for x in long], LENGTH)

@@ -76,3 +76,9 @@ def test_hot_anchors_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert D.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_strings_that_a_polynomial_confuses(spark):
+    rows = [(k, "".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1500)), "s", 1) for k in range(2)]
+    rows += [(2, rows[0][1][:700], "s", 1), (3, "c" + rows[1][1][300:900], "s", 1)]
+    assert got(D.deduplicate(spark.createDataFrame(rows, SCHEMA))) == slow([x[:2] for x in rows], LENGTH)
