@@ -50,6 +50,30 @@ def test_budgets_and_limits(spark):
         assert max(seen.values()) <= 3  # repeated rows of doc 7
 
 
+def oracle(rows, columns, budget=None):
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"}))
+    return con.sql(M.ORACLES["op9_mixing"].replace(str(M.BLOCK_TOKENS), "500"))
+
+
+def test_limits_among_repeated_rows_and_null_ids(spark):
+    """Partial passes that end among equal rows take as many as fit, whatever the
+    other columns; null ids are spread by their texts."""
+    rows = [(7, "a", "ten words of some text that all rows here have", str(i % 3), "b", "c") for i in range(100)]
+    rows += [(i, "b", "x y z v w u t s r q", "a", "b", "c") for i in range(1000)]
+    rows += [(None, "n", f"text number {i % 40} of these", None, "b", "c") for i in range(300)] + [(None, None, None, "a", "b", "c")] * 5
+    df = spark.createDataFrame(rows, SCHEMA)
+    used = {}
+    for r in M.realise(df, max_repeats=2.5, block_tokens=500).collect():
+        used[r.source] = used.get(r.source, 0) + r.mix_tokens
+    assert 2490 <= used["a"] <= 2500 and used["n"] <= 3750 and sum(used.values()) <= 12500
+    want = oracle(rows, df.columns)
+    cols = want.columns
+    got = M.realise(df, block_tokens=500)
+    assert sorted(str(tuple(r)) for r in got.select(*cols).collect()) == sorted(map(str, want.fetchall()))
+    assert len({r.mix_block for r in got.filter("source = 'n'").collect()}) > 1
+
+
 def test_edges(spark):
     df, _ = corpus(spark)
     assert M.realise(df.limit(0)).count() == 0
