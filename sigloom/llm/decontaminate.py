@@ -5,12 +5,14 @@ A window's shingles (five words; fewer if the window is shorter) are ordered by
 how often they occur in the whole corpus. Exact containment is asked for, so
 the prefix that a matching document must share is one shingle: the rarest. A
 scan of the documents looks up these prefix shingles, bounds candidates by
-length and position, and verifies the whole window by two independent 64-bit
-hashes at its place.
+length and position, screens them by a hash of the window at its place, and
+verifies the words of the whole window.
 
-The benchmark is the stated query set. Its windows are cut into blocks of at
-most BLOCK_WINDOWS, each broadcast on its own, so no broadcast outgrows its
-bound; documents are never shuffled.
+The benchmark is the stated query set. One scan counts its shingles in the corpus
+(a bit map of bounded size says which may be asked for; counts are joined exactly).
+Its windows are cut into blocks of about BLOCK_WINDOWS, each broadcast on its own;
+a task holds one block at a time and passes each batch of documents by all of
+them, parting its words once. Documents are never shuffled.
 
 Defined results: null text has no words and is clean; an item without words is
 ignored; null item ids are ignored; a null doc_id stays null; repeated rows are
@@ -29,109 +31,121 @@ from pyspark.sql import functions as F
 
 from sigloom.llm import arrays as A
 from sigloom.llm.lookup import Lookup
+from sigloom.llm.store import Kept
 
 WINDOW = 13
 SHINGLE = 5
-BLOCK_WINDOWS = 100_000
+BLOCK_WINDOWS = 200_000
+MAP_BITS = 23  # of the bit map of shingles, at most
+FLUSH = 1 << 20  # counted shingles that a task holds
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _word_hashes(buf, offs):
-    """Two hashes of each word and the rows' offsets into the words."""
-    low = A.LOWER[buf]
-    starts, ends, rows = A.word_spans(low, offs, A.ALNUM)
-    return A.span_hash(A.byte_sums(low, 1), starts, ends, 1), rows
+class _Words:
+    """A piece's lower-cased words: hashes, byte spans, rows' offsets into them."""
 
+    def __init__(self, buf, offs):
+        self.low = A.LOWER[buf]
+        self.starts, self.ends, self.rows = A.word_spans(self.low, offs, A.ALNUM)
+        self.hashes = A.word_hash(self.low, self.starts, self.ends)
+        self.sums = A.prefix_sums(self.hashes, 2)
 
-def _second(words):
-    return A.mix(words ^ A.U64(0x51ED270B0F3A9D27))
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def shingles(self, k: int) -> np.ndarray:
+        """Hashes of the k words from each place, to the piece's end."""
+        return A.window_hash(self.sums, k, 2)
+
+    def inside(self, k: int) -> np.ndarray:
+        """Which of them stay in their document."""
+        return A.starts_in_row(self.rows, k)[: max(0, len(self) - k + 1)]
+
+    def text(self, a: int, b: int) -> bytes:
+        return b" ".join(self.low[s:e].tobytes() for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist()))
 
 
 def _item_windows(batches):
-    """One row per window of an item: its length, its hash pair, its shingles."""
+    """One row per window of an item: its words, their number, hash and shingles."""
+    names = ("item", "words", "size", "k", "hash", "shingles")
+    schema = pa.schema(list(zip(names, (pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())))))
     for batch in batches:
         ids = batch.column("item_id").cast(pa.string())
         for first, last, buf, offs in A.pieces(batch):
-            words, rows = _word_hashes(buf, offs)
-            s1, s2 = A.prefix_sums(words, 2), A.prefix_sums(_second(words), 3)
-            out = {k: [] for k in ("item", "size", "k", "h1", "h2", "shingles")}
+            w = _Words(buf, offs)
+            out = {k: [] for k in names}
             for r in range(last - first):
-                a, b = int(rows[r]), int(rows[r + 1])
+                a, b = int(w.rows[r]), int(w.rows[r + 1])
                 size = min(WINDOW, b - a)
                 if size == 0 or not ids[first + r].is_valid:
                     continue
                 k = min(SHINGLE, size)
-                at = np.arange(a, b - size + 1)
-                h1, h2 = A.span_hash(s1, at, at + size, 2), A.span_hash(s2, at, at + size, 3)
-                for i, p in enumerate(at):
+                for p in range(a, b - size + 1):
                     q = np.arange(p, p + size - k + 1)
-                    out["item"].append(ids[first + r].as_py())
-                    out["size"].append(size)
-                    out["k"].append(k)
-                    out["h1"].append(int(h1[i].view(np.int64)))
-                    out["h2"].append(int(h2[i].view(np.int64)))
-                    out["shingles"].append(A.span_hash(s1, q, q + k, 2).view(np.int64).tolist())
-            yield pa.RecordBatch.from_pydict(
-                out,
-                schema=pa.schema(
-                    [("item", pa.string()), ("size", pa.int32()), ("k", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.list_(pa.int64()))]
-                ),
-            )
-
-
-def _count_shingles(block):
-    """How often each of a block's shingles occurs in the documents, by partition."""
+                    row = (ids[first + r].as_py(), w.text(p, p + size), size, k, int(A.span_hash(w.sums, np.array([p]), np.array([p + size]), 2).view(np.int64)[0]), A.span_hash(w.sums, q, q + k, 2).view(np.int64).tolist())
+                    for c, v in zip(out.values(), row):
+                        c.append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+
+def _count_shingles(screen):
+    """(shingle, n) of the documents' shingles that the bit map holds, summed up."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        keys, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        keys, at = np.unique(keys, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, n, len(keys)).astype(np.int64))], ["shingle", "n"])
 
     def run(batches):
-        by_size, total = {}, {}
-        for k, keys in block.value.items():
-            by_size[k] = Lookup(keys.view(A.U64))
-            total[k] = np.zeros(len(by_size[k].keys), dtype=np.int64)
+        sizes, bits = screen.value
+        mask, held, n = A.U64(len(bits) - 1), [], 0
         for batch in batches:
             for _, _, buf, offs in A.pieces(batch):
-                words, rows = _word_hashes(buf, offs)
-                sums = A.prefix_sums(words, 2)
-                for k, look in by_size.items():
-                    ok = A.starts_in_row(rows, k)[: max(0, len(words) - k + 1)]
-                    at, which = look.find(A.window_hash(sums, k, 2))
-                    total[k] += np.bincount(which[ok[at]], minlength=len(look.keys))
-        for k, look in by_size.items():
-            seen = total[k] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(look.keys[seen].view(np.int64)), pa.array(total[k][seen])], ["shingle", "n"])
+                w = _Words(buf, offs)
+                for k in sizes:
+                    h = w.shingles(k)[w.inside(k)]
+                    held.append(np.unique(h[bits[(h & mask).astype(np.int64)]], return_counts=True))
+                    n += len(held[-1][0])
+                if n > FLUSH:
+                    yield rows(held)
+                    held, n = [], 0
+        if held:
+            yield rows(held)
 
     return run
 
 
+def _load(block):
+    """A broadcast's value without the worker keeping it."""
+    path = getattr(block, "_path", None)
+    return block.load_from_path(path) if path else block.value
+
+
 def _scan(blocks, drop: bool = False):
-    """Judges documents against every block in turn; gives the verdicts or, with
-    drop, the rows that pass, with all their columns."""
+    """Judges documents against every block; gives the verdicts or, with drop, the
+    rows that pass, with all their columns."""
 
     def run(batches):
-        built = {}
+        one = _Block(blocks[0].value) if len(blocks) == 1 else None
         for batch in batches:
-            for first, last, buf, offs in A.pieces(batch):
-                words, rows = _word_hashes(buf, offs)
-                n, s1, s2 = len(words), A.prefix_sums(words, 2), A.prefix_sums(_second(words), 3)
-                starts, ends, items = [], [], []
-                for b, bc in enumerate(blocks):
-                    if b not in built:
-                        built = {b: _Block(bc.value)}  # one block at a time in memory
-                    st, en, doc, item = built[b].match(s1, s2, n, rows)
-                    starts.append(st)
-                    ends.append(en)
-                    items.append((doc, item))
-                hit = A.cover(n, np.concatenate(starts), np.concatenate(ends)) if n else np.zeros(0, bool)
-                per_doc = np.concatenate([[0], np.cumsum(hit)])[rows]
-                found: dict[int, set[str]] = {}
-                for doc, item in items:
-                    for d, names in zip(doc.tolist(), item):
-                        found.setdefault(d, set()).update(names)
-                n_words, n_hit = np.diff(rows), np.diff(per_doc)
+            parts = [(first, last, _Words(buf, offs), []) for first, last, buf, offs in A.pieces(batch)]
+            for b in blocks:
+                index = one or _Block(_load(b))
+                for _, _, w, hits in parts:
+                    hits.append(index.match(w))
+            for first, last, w, hits in parts:
+                starts, ends = (np.concatenate([h[k] for h in hits]) if hits else np.empty(0, np.int64) for k in (0, 1))
+                hit = A.cover(len(w), starts, ends)
+                n_words, n_hit = np.diff(w.rows), np.diff(np.concatenate([[0], np.cumsum(hit)])[w.rows])
                 contaminated = (n_hit > 0) & (20 * n_hit >= n_words)
                 if drop:
                     yield batch.slice(first, last - first).filter(pa.array(~contaminated))
                     continue
+                found: dict[int, set[str]] = {}
+                for h in hits:
+                    for d, items in h[2]:
+                        found.setdefault(d, set()).update(items)
                 names = [sorted(found.get(d, ())) for d in range(last - first)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -162,16 +176,17 @@ class _Block:
             bounds = np.searchsorted(keys[order], look.keys, side="left")
             self.index.append((int(k), look, rows[order], np.append(bounds, len(rows))))
 
-    def match(self, s1, s2, n, rows):
-        none = np.empty(0, np.int64)
-        out = [(none, none, none, [])]
-        w = self.w
+    def match(self, words: _Words):
+        """First and end words of the occurrences of windows, and (document, items)
+        of each document and window that occurs in it."""
+        w, rows = self.w, words.rows
+        starts, ends, pairs = [np.empty(0, np.int64)], [np.empty(0, np.int64)], set()
         for k, look, listed, bounds in self.index:
-            if n < k:
+            if len(words) < k:
                 continue
-            ok = A.starts_in_row(rows, k)[: n - k + 1]
-            at, key = look.find(A.window_hash(s1, k, 2))
-            at, key = at[ok[at]], key[ok[at]]
+            at, key = look.find(words.shingles(k))
+            ok = words.inside(k)[at]
+            at, key = at[ok], key[ok]
             size = bounds[key + 1] - bounds[key]
             pos = np.repeat(at, size)
             within = np.arange(len(pos)) - np.repeat(np.cumsum(size) - size, size)
@@ -182,34 +197,48 @@ class _Block:
             doc = np.searchsorted(rows, pos, side="right") - 1
             fits = (start >= rows[doc]) & (end <= rows[doc + 1])
             start, end, win, doc = start[fits], end[fits], win[fits], doc[fits]
-            same = (A.span_hash(s1, start, end, 2).view(np.int64) == w["h1"][win]) & (A.span_hash(s2, start, end, 3).view(np.int64) == w["h2"][win])
+            same = A.span_hash(words.sums, start, end, 2).view(np.int64) == w["hash"][win]
             start, end, win, doc = start[same], end[same], win[same], doc[same]
-            d, x = np.divmod(np.unique(doc * len(w["h1"]) + win), len(w["h1"]))
-            out.append((start, end, d, [w["items"][i] for i in x.tolist()]))
-        return (
-            np.concatenate([x[0] for x in out]),
-            np.concatenate([x[1] for x in out]),
-            np.concatenate([x[2] for x in out]),
-            [names for x in out for names in x[3]],
-        )
+            same = np.array([words.text(a, b) == w["words"][x] for a, b, x in zip(start.tolist(), end.tolist(), win.tolist())], dtype=bool)
+            starts.append(start[same])
+            ends.append(end[same])
+            pairs.update(zip(doc[same].tolist(), win[same].tolist()))
+        return np.concatenate(starts), np.concatenate(ends), [(d, w["items"][x]) for d, x in pairs]
 
 
 def _blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_windows: int) -> list:
-    """Broadcasts of the benchmark's windows, block_windows or so in each."""
+    """Broadcasts of the benchmark's windows, block_windows or so in each, with the
+    rarest shingle of each window (the smaller hash of equals) and its place."""
     windows = (
         benchmark.select("item_id", "text")
-        .mapInArrow(_item_windows, "item string, size int, k int, h1 long, h2 long, shingles array<long>")
-        .groupBy("size", "k", "h1", "h2", "shingles")
+        .mapInArrow(_item_windows, "item string, words binary, size int, k int, hash long, shingles array<long>")
+        .groupBy("words", "size", "k", "hash", "shingles")
         .agg(F.collect_set("item").alias("items"))
-        .persist()
     )
-    try:
-        n = max(1, -(-windows.count() // block_windows))
-        # By hash: a block's size doesn't depend on the total.
-        parts = (windows.filter(F.pmod(F.xxhash64("h1", "h2"), F.lit(n)) == b).toPandas() for b in range(n))
-        return [spark.sparkContext.broadcast(_prefixes(spark, docs, part)) for part in parts]
-    finally:
-        windows.unpersist()
+    kept = Kept(windows, "windows")
+    one = kept.df.select("k", "words", "size", F.posexplode("shingles").alias("at", "shingle"))
+    n = kept.df.count()
+    bits = min(MAP_BITS, max(16, (n * (WINDOW - SHINGLE + 1)).bit_length() + 3))
+    screen = np.zeros(1 << bits, dtype=bool)
+    slots = one.select(F.expr(f"shingle & {(1 << bits) - 1}").alias("s")).distinct().toArrow()
+    screen[slots.column("s").to_numpy()] = True
+    sizes = [r["k"] for r in kept.df.select("k").distinct().collect()]
+    known = spark.sparkContext.broadcast((sizes, screen))
+    counts = docs.select("text").mapInArrow(_count_shingles(known), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rarest = one.join(counts, "shingle", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at")).alias("p"))
+    chosen = Kept(kept.df.join(rarest, "words").select("words", "size", "k", "hash", "items", "p.shingle", "p.at"), "prefixes")
+    kept.drop()
+    blocks = max(1, -(-n // block_windows))
+    # By hash: a block's size doesn't depend on the total. One at a time on the driver.
+    parts = (chosen.df.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).toPandas() for b in range(blocks))
+    out = [spark.sparkContext.broadcast(_arrays(part)) for part in parts]
+    chosen.drop()
+    return out
+
+
+def _arrays(part) -> dict:
+    longs = {c: part[c].to_numpy(np.int64) for c in ("size", "k", "hash", "at")}
+    return longs | {"prefix": part["shingle"].to_numpy(np.int64), "words": [bytes(x) for x in part["words"]], "items": [list(x) for x in part["items"]]}
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -218,30 +247,6 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bl
     return docs.mapInArrow(_scan(_blocks(spark, docs, benchmark, block_windows)), _RESULT)
 
 
-def _prefixes(spark: SparkSession, docs: DataFrame, part) -> dict:
-    """A block's windows with the rarest shingle of each and its offset."""
-    by_size = {int(k): np.unique(np.concatenate([np.asarray(x, np.int64) for x in g["shingles"]])) for k, g in part.groupby("k")}
-    counts = {}
-    if by_size:
-        known = spark.sparkContext.broadcast(by_size)
-        n = docs.select("text").mapInArrow(_count_shingles(known), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toPandas()
-        counts = dict(zip(n["shingle"].tolist(), n["n"].tolist()))
-    prefix, at = [], []
-    for shingles in part["shingles"]:
-        i = min(range(len(shingles)), key=lambda j: (counts.get(int(shingles[j]), 0), int(shingles[j])))
-        prefix.append(int(shingles[i]))
-        at.append(i)
-    return {
-        "prefix": np.array(prefix, np.int64),
-        "at": np.array(at, np.int64),
-        "size": part["size"].to_numpy(np.int64),
-        "k": part["k"].to_numpy(np.int64),
-        "h1": part["h1"].to_numpy(np.int64),
-        "h2": part["h2"].to_numpy(np.int64),
-        "items": [list(x) for x in part["items"]],
-    }
-
-
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows that the contamination rule leaves, columns unchanged. Rows are
     judged where they stand, so neither repeated nor null ids matter."""

@@ -63,3 +63,19 @@ def test_empty_tables(spark):
     _, df, _, bench = make(spark)
     assert D.contamination(spark, df.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in D.contamination(spark, df, bench.limit(0)).collect())
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """A Thue-Morse word and its complement are different words."""
+    for n in (8, 512, 1024, 4096):
+        one, two = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(n)) for k in range(2))
+        seq = [" ".join(f"w{(bin(i).count('1') + k) % 2}" for i in range(1500)) for k in range(2)]
+        docs, items = [(1, one), (2, f"x {two}"), (3, seq[0])], [(1, two), (2, seq[1])]
+        df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        assert got(D.contamination(spark, df, bench)) == slow(docs, items)
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    assert got(D.op10_decontaminate(spark, sf)) == slow(docs, items)
