@@ -10,14 +10,16 @@ by the caller's index (suffix array, FM-index) on the items themselves.
 
 1. `gather` scans the documents and finds the anchors that stand in two places or
    more. A task sends each anchor once, so a hot one costs a row for each flush.
-2. `cut` cuts the contexts of those anchors out of their documents. A task sends
-   equal contents once, with their first and last place; all places are kept aside.
-3. `_verdicts` brings contents together by anchor, in shards. Of each content the
-   shard's index holds the first occurrence and, if there are more, the last, so it
-   decides on the first and for all later ones. Anchors with more than HOT different
-   contents (the edges of a very common passage) are dealt out by whole windows.
-4. Verdicts are joined to all places (hot contents are split by adaptive execution),
-   and `marked` joins the runs of windows back to the documents.
+2. The contexts of those anchors are cut out of their documents and dealt out by
+   anchor. A task sends equal contents once, with their first and last place; places
+   between them go their own way, to no shard in particular.
+3. A shard's index holds its different contents, each with its first and last place,
+   and decides which windows of the first one go and which of the later ones. An
+   anchor with more than HOT different contents (the edge of a very common passage)
+   is left, and its contents are dealt out once more by whole windows.
+4. Runs of windows of first and last places are ready then; the verdict for the places
+   between is joined to them (adaptive execution splits what is hot). `marked` joins
+   the runs back to the documents.
 
 A document is told by its id and a hash of its text, so rows with one id and
 different texts are different documents and repeated rows are the same one (all
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm import arrays as A
-from sigloom.llm.store import Kept, partitions_for
+from sigloom.llm.store import Kept, free_shuffles, partitions_for
 
 NO_ID = -(1 << 63)
 FLUSH = 1 << 17  # contexts that a task holds before it deals them out
@@ -200,10 +202,31 @@ def _spread(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.repartition(n, "k", "t") if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-#: Contents (with items, first and last place) and places (without items).
-CUT = "anchor long, c1 long, c2 long, n int, items binary, k long, t int, s long, k2 long, t2 int, s2 long"
-_CUT_TYPES = (*[pa.int64()] * 3, pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-_CUT_NAMES = [c.split()[0] for c in CUT.split(", ")]
+#: Contents (with items, first and last place), dealt out by their anchor, and places
+#: between those (without items), dealt out evenly.
+CUT = "route long, c1 long, c2 long, n int, items binary, k long, t int, s long, k2 long, t2 int, s2 long"
+_TYPES = {"route": pa.int64(), "kind": pa.int32(), "c1": pa.int64(), "c2": pa.int64(), "n": pa.int32(), "items": pa.binary(), "k": pa.int64(), "t": pa.int32(), "s": pa.int64(), "k2": pa.int64(), "t2": pa.int32(), "s2": pa.int64(), "off": pa.int32(), "first": pa.bool_()}
+
+
+class _Out:
+    """Rows of a schema, column by column."""
+
+    def __init__(self, schema: str):
+        self.names = [c.split()[0] for c in schema.split(", ")]
+        self.columns: list[list] = [[] for _ in self.names]
+
+    def add(self, *row) -> None:
+        for c, v in zip(self.columns, row):
+            c.append(v)
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, _TYPES[n]) for c, n in zip(self.columns, self.names)], self.names)
+        self.columns = [[] for _ in self.names]
+        return out
+
+
+def _rows_of(batch: pa.RecordBatch, schema: str):
+    return zip(*(batch.column(c.split()[0]).to_pylist() for c in schema.split(", ")))
 
 
 def _content_id(items: bytes) -> tuple[int, int]:
@@ -211,23 +234,17 @@ def _content_id(items: bytes) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _batch(columns: list, types, names) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-
 def _cut(shape: Shape):
     def rows(found: dict) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in _CUT_NAMES]
+        out = _Out(CUT)
         for items, (anchor, n, places) in found.items():
-            ids = _content_id(items)
+            c1, c2 = _content_id(items)
             lo, hi = min(places), max(places)
-            m = len(places)
-            for c, v in zip(out, (anchor, *ids, n, items, *lo, *hi)):
-                c.append(v)
-            ks, ts, ss = zip(*places)
-            for c, v in zip(out, ([None] * m, [ids[0]] * m, [ids[1]] * m, [n] * m, [None] * m, ks, ts, ss, [None] * m, [None] * m, [None] * m)):
-                c.extend(v)
-        return _batch(out, _CUT_TYPES, _CUT_NAMES)
+            out.add(anchor, c1, c2, n, items, *lo, *hi)
+            if len(places) > 2:
+                for k, t, s in places - {lo, hi}:
+                    out.add(c1 ^ s, c1, c2, n, None, k, t, s, None, None, None)
+        return out.batch()
 
     def run(batches):
         found: dict = {}
@@ -259,10 +276,10 @@ def _cut(shape: Shape):
     return run
 
 
-def cut(docs: DataFrame, asked: DataFrame, shape: Shape) -> Kept:
+def cut(docs: DataFrame, asked: DataFrame, shape: Shape) -> DataFrame:
     """Step 2: CUT rows."""
     lists = _spread(asked, docs).groupBy("k", "t").agg(F.collect_list(F.struct("at", "anchor")).alias("asks"))
-    return Kept(_spread(keyed(docs), docs).join(lists, ["k", "t"]).mapInArrow(_cut(shape), CUT), "contents")
+    return _spread(keyed(docs), docs).join(lists, ["k", "t"]).mapInArrow(_cut(shape), CUT)
 
 
 @dataclass
@@ -276,9 +293,11 @@ class Content:
     hi: tuple
 
 
-VERDICT = "c1 long, c2 long, first boolean, k long, t int, s long, off int, m int"
-_VERDICT_TYPES = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-_VERDICT_NAMES = [c.split()[0] for c in VERDICT.split(", ")]
+#: What a shard leaves, by kind: RUN (k, t, s, n) of windows that go; REST, a run
+#: (off, n) of a content's later places, with its first place; PLACE of a content
+#: between its first and last; OPEN, a content of a hot anchor.
+DECIDED = "kind int, c1 long, c2 long, n int, items binary, k long, t int, s long, k2 long, t2 int, s2 long, off int"
+RUN, REST, PLACE, OPEN = range(4)
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -286,47 +305,75 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def shards_of(batches, limit: int):
-    """CUT rows in order of their anchors, as lists of Content of about `limit`
-    bytes; an anchor's contents stay together. Equal ids must mean equal items."""
-    held: dict = {}
-    size, before = 0, None
-    for batch in batches:
-        for anchor, c1, c2, n, items, k, t, s, k2, t2, s2 in zip(*(batch.column(c).to_pylist() for c in _CUT_NAMES)):
-            if anchor != before and size >= limit:
-                yield list(held.values())
-                held, size = {}, 0
-            before = anchor
-            lo, hi = (k, t, s), (k2, t2, s2)
-            had = held.get((c1, c2))
-            if had is None:
-                held[(c1, c2)] = Content((c1, c2), n, items, lo, hi)
-                size += len(items)
-                continue
-            if had.items != items:
-                raise ValueError("two contents have one 128-bit hash")
-            had.lo, had.hi = min(had.lo, lo), max(had.hi, hi)
-    if held:
-        yield list(held.values())
+def _judge(decide: Callable, shard: list[Content], out: _Out) -> None:
+    for c, (one, rest) in zip(shard, decide(shard)):
+        k, t, s = c.lo
+        for off, n in _runs(one):
+            out.add(RUN, None, None, n, None, k, t, s + off, None, None, None, None)
+        if c.hi == c.lo:
+            continue
+        for off, n in _runs(rest):
+            out.add(RUN, None, None, n, None, c.hi[0], c.hi[1], c.hi[2] + off, None, None, None, None)
+            # Middle places may also come to light elsewhere, from a task that sent several.
+            out.add(REST, *c.key, n, None, k, t, s, None, None, None, off)
 
 
-def _decide(decide: Callable, limit: int):
+def _decide(decide: Callable, limit: int, hot: int):
     """decide: list of Content -> a pair of masks of each one's windows, for its
-    first occurrence and for the later ones."""
+    first place and for the later ones."""
 
     def run(batches):
-        for shard in shards_of(batches, limit):
-            out: list[list] = [[] for _ in _VERDICT_NAMES]
-            for c, (one, rest) in zip(shard, decide(shard)):
-                for first, mask in ((True, one), (False, rest)):
-                    for a, m in _runs(mask):
-                        for col, v in zip(out, (*c.key[:2], first, *c.lo, a, m)):
-                            col.append(v)
-            yield _batch(out, _VERDICT_TYPES, _VERDICT_NAMES)
+        out = _Out(DECIDED)
+        held: dict = {}  # of anchors before this one
+        own: dict = {}  # of this one
+        size, before, is_hot = 0, None, False
+
+        def left_open(c: Content) -> None:
+            out.add(OPEN, *c.key, c.n, c.items, *c.lo, *c.hi, None)
+
+        for batch in batches:
+            for route, c1, c2, n, items, k, t, s, k2, t2, s2 in _rows_of(batch, CUT):
+                if items is None:
+                    out.add(PLACE, c1, c2, None, None, k, t, s, None, None, None, None)
+                    continue
+                if route != before:
+                    held |= own
+                    own, before, is_hot = {}, route, False
+                    if size >= limit:
+                        _judge(decide, list(held.values()), out)
+                        yield out.batch()
+                        held, size = {}, 0
+                new = Content((c1, c2), n, items, (k, t, s), (k2, t2, s2))
+                if is_hot:
+                    left_open(new)
+                    continue
+                had = own.get(new.key)
+                if had is None:
+                    own[new.key] = new
+                    size += len(items)
+                    if len(own) > hot:
+                        is_hot = True
+                        for c in own.values():
+                            left_open(c)
+                        own = {}
+                    continue
+                if had.items != items:
+                    raise ValueError("two contents have one 128-bit hash")
+                lo, hi = min(had.lo, new.lo), max(had.hi, new.hi)
+                for place in {had.lo, had.hi, new.lo, new.hi} - {lo, hi}:
+                    out.add(PLACE, c1, c2, None, None, *place, None, None, None, None)
+                had.lo, had.hi = lo, hi
+        held |= own
+        if held:
+            _judge(decide, list(held.values()), out)
+        yield out.batch()
 
     return run
 
 
+VERDICT = "c1 long, c2 long, first boolean, k long, t int, s long, off int, n int"
+
+
 def _window_hashes(shape: Shape):
     """(w, twice, c1, c2, off): the windows of hot contents."""
 
@@ -345,97 +392,96 @@ def _window_hashes(shape: Shape):
 
 
 #: A window of a hot content, as a content of its own: c1, c2, off tell it.
-WINDOW = "anchor long, c1 long, c2 long, off int, items binary, k long, t int, s long, k2 long, t2 int, s2 long"
-_WINDOW_NAMES = [c.split()[0] for c in WINDOW.split(", ")]
+WINDOW = "route long, c1 long, c2 long, off int, items binary, k long, t int, s long, k2 long, t2 int, s2 long"
 
 
 def _window_rows(shape: Shape):
     def run(batches):
         names = ("c1", "c2", "n", "items", "k", "t", "s", "k2", "t2", "s2", "offs")
         for batch in batches:
-            out: list[list] = [[] for _ in _WINDOW_NAMES]
+            out = _Out(WINDOW)
             for c1, c2, n, items, k, t, s, k2, t2, s2, offs in zip(*(batch.column(c).to_pylist() for c in names)):
                 windows = shape.windows(items, n)
                 for o in offs:
                     w = int(np.uint64(xxhash.xxh64_intdigest(windows[o])).view(np.int64))
-                    for col, v in zip(out, (w, c1, c2, o, windows[o], k, t, s + o, k2, t2, s2 + o)):
-                        col.append(v)
-            yield _batch(out, _CUT_TYPES, _WINDOW_NAMES)
+                    out.add(w, c1, c2, o, windows[o], k, t, s + o, k2, t2, s2 + o)
+            yield out.batch()
 
     return run
 
 
 def _decide_windows(decide: Callable, limit: int):
-    """As _decide, for single windows: equal ones are told apart by their content."""
+    """As _decide, for single windows of hot contents; VERDICT rows. Equal windows of
+    different contents are one string with all their places."""
+
+    def judged(held: list[Content]) -> pa.RecordBatch:
+        strings: dict = {}
+        for c in held:
+            had = strings.setdefault(c.items, Content((), 1, c.items, c.lo, c.hi))
+            had.lo, had.hi = min(had.lo, c.lo), max(had.hi, c.hi)
+        verdict = {s: (bool(a.any()), bool(b.any()), v.lo) for (s, v), (a, b) in zip(strings.items(), decide(list(strings.values())))}
+        out = _Out(VERDICT)
+        for c in held:
+            one, rest, lo = verdict[c.items]
+            c1, c2, off = c.key
+            # A content's own first place is the string's first one or a later one.
+            for first, mark in ((True, one if c.lo == lo else rest), (False, rest)):
+                if mark:
+                    out.add(c1, c2, first, c.lo[0], c.lo[1], c.lo[2] - off, off, 1)
+        return out.batch()
 
     def run(batches):
         held: list[Content] = []
         size, before = 0, None
-
-        def judged():
-            # Equal windows of different contents: one string, all their places.
-            strings: dict = {}
-            for c in held:
-                had = strings.setdefault(c.items, Content((), 1, c.items, c.lo, c.hi))
-                had.lo, had.hi = min(had.lo, c.lo), max(had.hi, c.hi)
-            verdict = {s: (bool(a[0]), bool(b[0]), v.lo) for (s, v), (a, b) in zip(strings.items(), decide(list(strings.values())))}
-            out: list[list] = [[] for _ in _VERDICT_NAMES]
-            for c in held:
-                one, rest, lo = verdict[c.items]
-                c1, c2, off = c.key
-                # A content's own first place is the string's first one or a later one.
-                for first, mark in ((True, one if c.lo == lo else rest), (False, rest)):
-                    if mark:
-                        for col, v in zip(out, (c1, c2, first, c.lo[0], c.lo[1], c.lo[2] - off, off, 1)):
-                            col.append(v)
-            return _batch(out, _VERDICT_TYPES, _VERDICT_NAMES)
-
         for batch in batches:
-            for anchor, c1, c2, off, items, k, t, s, k2, t2, s2 in zip(*(batch.column(c).to_pylist() for c in _WINDOW_NAMES)):
-                if anchor != before and size >= limit:
-                    yield judged()
+            for route, c1, c2, off, items, k, t, s, k2, t2, s2 in _rows_of(batch, WINDOW):
+                if route != before and size >= limit:
+                    yield judged(held)
                     held, size = [], 0
-                before = anchor
+                before = route
                 held.append(Content((c1, c2, off), 1, items, (k, t, s), (k2, t2, s2)))
                 size += len(items)
         if held:
-            yield judged()
+            yield judged(held)
 
     return run
 
 
-def _verdicts(contents: DataFrame, docs: DataFrame, shape: Shape, decide: Callable, limit: int, hot: int) -> DataFrame:
-    """Step 3: VERDICT rows, for each content the runs of its windows that go, of
-    its first occurrence and of the others."""
-    shards = partitions_for(docs, 24 << 20)
-    often = Kept(contents.groupBy("anchor").agg(F.count_distinct("c1").alias("n")).filter(F.col("n") > hot).select("anchor"), "often")
-    few = contents.join(often.df, "anchor", "left_anti").select(*_CUT_NAMES)
-    by_anchor = few.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_decide(decide, limit), VERDICT)
-    if often.df.isEmpty():
-        return by_anchor
+def _open_verdicts(left: DataFrame, shards: int, shape: Shape, decide: Callable, limit: int) -> DataFrame:
+    """VERDICT rows of the contents that hot anchors left open: their windows are
+    dealt out each by itself. Those that no other window's hash equals go nowhere."""
     place = lambda f, *c: f(F.struct(*c))
-    much = contents.join(often.df, "anchor", "left_semi").groupBy("c1", "c2")
-    much = much.agg(F.first("n").alias("n"), F.first("items").alias("items"), place(F.min, "k", "t", "s").alias("lo"), place(F.max, "k2", "t2", "s2").alias("hi"))
+    much = left.groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("items").alias("items"), place(F.min, "k", "t", "s").alias("lo"), place(F.max, "k2", "t2", "s2").alias("hi"))
     much = Kept(much.select("c1", "c2", "n", "items", "lo.*", "hi.*"), "hot").df
     many = ~(F.struct("k", "t", "s") == F.struct("k2", "t2", "s2"))
     hashes = Kept(much.select("c1", "c2", "n", "items", many.alias("many")).mapInArrow(_window_hashes(shape), "w long, twice boolean, c1 long, c2 long, off int"), "windows").df
     again = hashes.groupBy("w").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 OR twice").select("w")
     offs = hashes.join(again, "w").groupBy("c1", "c2").agg(F.collect_list("off").alias("offs"))
     windows = much.join(offs, ["c1", "c2"]).mapInArrow(_window_rows(shape), WINDOW)
-    by_window = windows.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_decide_windows(decide, limit), VERDICT)
-    return by_anchor.union(by_window)
+    return windows.repartition(shards, "route").sortWithinPartitions("route").mapInArrow(_decide_windows(decide, limit), VERDICT)
 
 
 def found_runs(docs: DataFrame, shape: Shape, decide: Callable, limit: int, hot: int = HOT) -> DataFrame:
     """(k, t, start, n): the runs of windows that `decide` marks."""
+    shards = partitions_for(docs, 24 << 20)
     asked = gather(docs, shape)
-    pieces = cut(docs, asked.df, shape)
+    free_shuffles(docs.sparkSession)
+    contents = cut(docs, asked.df, shape).repartition(shards, "route").sortWithinPartitions("route")
+    decided = Kept(contents.mapInArrow(_decide(decide, limit, hot), DECIDED), "decided").df
     asked.drop()
-    contents, places = pieces.df.filter("items IS NOT NULL"), pieces.df.filter("items IS NULL").select("c1", "c2", F.col("k").alias("pk"), F.col("t").alias("pt"), F.col("s").alias("ps"))
-    verdicts = Kept(_verdicts(contents, docs, shape, decide, limit, hot), "verdicts").df
-    both = places.join(verdicts, ["c1", "c2"])
+    del contents
+    free_shuffles(docs.sparkSession)
+    runs = decided.filter(F.col("kind") == RUN).select("k", "t", F.col("s").alias("start"), "n")
+    place = lambda df, k, t, s: df.select("c1", "c2", F.col(k).alias("pk"), F.col(t).alias("pt"), F.col(s).alias("ps"))
+    places = place(decided.filter(F.col("kind") == PLACE), "k", "t", "s")
+    verdicts = decided.filter(F.col("kind") == REST).select("c1", "c2", F.lit(False).alias("first"), "k", "t", "s", "off", "n")
+    left = decided.filter(F.col("kind") == OPEN)
+    if not left.isEmpty():
+        verdicts = verdicts.union(Kept(_open_verdicts(left, shards, shape, decide, limit), "verdicts").df)
+        places = places.union(place(left, "k", "t", "s")).union(place(left, "k2", "t2", "s2"))
     own = F.struct("pk", "pt", "ps") == F.struct("k", "t", "s")
-    return both.filter(own == F.col("first")).select(F.col("pk").alias("k"), F.col("pt").alias("t"), (F.col("ps") + F.col("off")).alias("start"), F.col("m").alias("n"))
+    more = places.join(verdicts, ["c1", "c2"]).filter(own == F.col("first"))
+    return runs.union(more.select(F.col("pk").alias("k"), F.col("pt").alias("t"), (F.col("ps") + F.col("off")).alias("start"), "n"))
 
 
 def marked(docs: DataFrame, runs: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.sources.scratch import shared_dir
 
@@ -24,6 +25,13 @@ class Kept:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps now, not when the driver's
+    memory happens to be collected: they go with the plans that made them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for plain scans, the bytes of the files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -46,34 +46,34 @@ def shape(length: int = LENGTH, gram: int = GRAM) -> R.Shape:
 
 
 def later_windows(length: int):
-    """Of a shard's contents: which windows of the first occurrence, and which of a
-    later one, start earlier somewhere."""
+    """Of a shard's contents: which windows of the first place, and which of the
+    later ones, start earlier somewhere. A suffix stands for all places of its
+    content; a group of equal prefixes has one earliest place, the others go."""
 
     def decide(shard: list[R.Content]):
-        # The last occurrence stands for all but the first.
-        strings = [(c, p) for c in shard for p in ((c.lo,) if c.lo == c.hi else (c.lo, c.hi))]
-        sizes = np.array([len(c.items) for c, _ in strings])
+        sizes = np.array([len(c.items) for c in shard])
         base = np.concatenate([[0], np.cumsum(sizes + 1)])
-        text = np.full(base[-1], 256, dtype=np.int16)
+        # Each content ends with a symbol of its own, so none is compared beyond it.
+        text = np.empty(base[-1], dtype=np.int32)
         inside = np.ones(base[-1], dtype=bool)
         inside[base[1:] - 1] = False
-        text[inside] = np.frombuffer(b"".join(c.items for c, _ in strings), np.uint8)
+        text[inside] = np.frombuffer(b"".join(c.items for c in shard), np.uint8)
+        text[~inside] = 256 + np.arange(len(shard))
         # Documents by (id, text hash), then the window's place: one number in order.
-        docs = {d: i for i, d in enumerate(sorted({p[:2] for _, p in strings}))}
-        n = np.array([c.n for c, _ in strings])
+        docs = {d: i for i, d in enumerate(sorted({p[:2] for c in shard for p in (c.lo, c.hi)}))}
+        n = np.array([c.n for c in shard])
         starts = np.repeat(base[:-1], n) + _count_up(n)
-        place = np.full(base[-1], -1, dtype=np.int64)
-        place[starts] = np.repeat([(docs[p[:2]] << 34) + p[2] for _, p in strings], n) + _count_up(n)
+        first, last = (np.repeat([(docs[p[:2]] << 34) + p[2] for p in places], n) + _count_up(n) for places in ([c.lo for c in shard], [c.hi for c in shard]))
+        place, later = np.full(base[-1], -1, dtype=np.int64), np.full(base[-1], -1, dtype=np.int64)
+        place[starts], later[starts] = first, last
         order = suffix_array(text)
         order = order[place[order] >= 0]
         same = equal_prefixes(text, order, length)
         heads = np.flatnonzero(~same)
-        earliest = np.minimum.reduceat(place[order], heads)
-        late = np.zeros(len(text), dtype=bool)
-        late[order] = place[order] != np.repeat(earliest, np.diff(np.append(heads, len(order))))
-        masks = iter([late[b : b + m] for b, m in zip(base.tolist(), n.tolist())])
-        none = np.zeros(0, dtype=bool)
-        return [(next(masks), none if c.lo == c.hi else next(masks)) for c in shard]
+        earliest = np.empty(base[-1], dtype=np.int64)
+        earliest[order] = np.repeat(np.minimum.reduceat(place[order], heads), np.diff(np.append(heads, len(order))))
+        one, rest = place > earliest, later > earliest
+        return [(one[b : b + m], rest[b : b + m]) for b, m in zip(base.tolist(), n.tolist())]
 
     return decide
 

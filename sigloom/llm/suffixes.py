@@ -43,7 +43,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
     key = _pack(s[sample], s[sample + 1], s[sample + 2])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.empty(len(order), dtype=np.int64)
     new[0] = 0
     new[1:] = key[order][1:] != key[order][:-1]
@@ -55,7 +55,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     rank = np.zeros(n + 4, dtype=np.int64)
     rank[sorted_sample] = np.arange(1, len(order) + 1)
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(_pack(s[zero], rank[zero + 1]), kind="stable")]
+    zero = zero[np.argsort(_pack(s[zero], rank[zero + 1]))]
     sorted_sample = sorted_sample[sorted_sample < n]
     first, second = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
     a, b = _merge_keys([s[zero], rank[zero + 1]], [s[first], rank[first + 1]])
