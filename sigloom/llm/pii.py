@@ -20,8 +20,10 @@ most de, rarer entities than MIN_DOCS go first; then terms that stand in fewer
 than MIN_DOCS documents with an entity left; then pairs with df above
 de * (N / de)^(1 - ALPHA). These bounds lose no pair. Counts are summed before the
 shuffle, so a hot entity has one row for each term and batch, dealt out by the
-pair. Entities and candidate terms are cut into hashed blocks of a bounded size,
-each broadcast on its own and counted in one scan.
+pair. Which entities and terms still matter goes to the scans as a screen: hash
+slots with the bound of whatever fell into each. A screen has a bounded size and
+loses nothing; what it lets through for nothing goes in the exact joins after it.
+So each statistic takes one scan, however many entities and terms there are.
 
 Defined results: null text is empty; null ids stay; repeated rows are counted and
 marked one by one; an empty table gives no rows; other columns pass unchanged
@@ -33,10 +35,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.names import fresh
@@ -44,7 +47,8 @@ from sigloom.llm.store import Kept
 
 ALPHA = 0.9
 MIN_DOCS = 3
-BLOCK_TERMS = 200_000
+SCREEN_BITS = 22  # slots of a screen, at most
+REMEMBERED = 200_000  # bounds that a reader of a screen keeps by name
 #: Counts that a worker holds before it hands them on.
 FLUSH = 300_000
 #: The patterns of the contract, in the order of kinds.
@@ -152,10 +156,11 @@ def _counted(of, *names: str):
         return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), pa.array(list(n.values()), pa.int64())], schema=schema)
 
     def run(batches):
+        count = of()
         for batch in batches:
             n: Counter = Counter()
             for text in _texts(batch):
-                n.update(of(text))
+                n.update(count(text))
                 if len(n) > FLUSH:
                     yield rows(n)
                     n = Counter()
@@ -164,103 +169,140 @@ def _counted(of, *names: str):
     return run
 
 
-def _entities(text: str) -> set:
+def _sums(docs: DataFrame, of, *names: str) -> DataFrame:
+    """How many texts give each key. `of` makes, in each task, the function that
+    gives a text's keys."""
+    schema = ", ".join([*(f"{c} string" for c in names), "n long"])
+    return docs.mapInArrow(_counted(of, *names), schema).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+class Screen:
+    """A bound for each key of a table, from hash slots: 0 for keys that are not in
+    it, as a rule; otherwise the largest (or smallest) value of the key's slot."""
+
+    def __init__(self, slots: np.ndarray):
+        self.slots = slots
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str, value: Column, smallest: bool = False) -> Screen:
+        bits = min(SCREEN_BITS, max(10, df.count().bit_length() + 4))
+        slot = F.expr(f"xxhash64({key}) & {(1 << bits) - 1}")
+        best = df.groupBy(slot.alias("slot")).agg((F.min if smallest else F.max)(value.cast("double")).alias("v")).toArrow()
+        slots = np.zeros(1 << bits)
+        slots[best.column("slot").to_numpy()] = best.column("v").to_numpy()
+        return cls(slots)
+
+    def reader(self):
+        """key -> bound; remembers the commonest keys' bounds."""
+        mask, slots, known = len(self.slots) - 1, self.slots, {}
+
+        def bound(key: str) -> float:
+            v = known.get(key)
+            if v is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                # Spark's xxhash64 of a string has this seed.
+                v = known[key] = float(slots[xxhash.xxh64_intdigest(key.encode(), 42) & mask])
+            return v
+
+        return bound
+
+
+def _entities():
     """A text's entities, and null, which counts the texts."""
-    return {None, *(entity(text, s) for s in base_spans(text))}
+    return lambda text: {None, *(entity(text, s) for s in base_spans(text))}
 
 
 def _terms_beside(ents):
-    """The terms of texts that hold an entity of the block."""
+    """The terms of texts that hold an entity that the screen knows."""
 
-    def of(text):
-        spans = base_spans(text)
-        if not spans or ents.value.keys().isdisjoint({entity(text, s) for s in spans}):
-            return ()
-        return {t for t, _, _ in words(text, spans)}
+    def make():
+        known = ents.value.reader()
 
-    return of
+        def of(text):
+            spans = base_spans(text)
+            return {t for t, _, _ in words(text, spans)} if any(known(entity(text, s)) for s in spans) else ()
 
+        return of
 
-def _known_terms(terms):
-    return lambda text: {_term(w) for w in set(WORD.findall(text))} & terms.value.keys()
+    return make
 
 
-def _pairs(ents, terms):
-    """(entity, term) of each text where the term's df is within the entity's bound."""
+def _known_terms(terms):
+    def make():
+        known = terms.value.reader()
+        return lambda text: [t for t in {_term(w) for w in set(WORD.findall(text))} if t and known(t)]
 
-    def of(text):
-        spans = base_spans(text)
-        own = {entity(text, s) for s in spans} & ents.value.keys() if spans else ()
-        if not own:
-            return
-        df = terms.value
-        here = [(t, df[t]) for t in {t for t, _, _ in words(text, spans)} & df.keys()]
-        for e in own:
-            most = ents.value[e]
-            yield from ((e, t) for t, n in here if n <= most)
+    return make
 
-    return of
 
+def _pairs(ents, terms):
+    """(entity, term) of each text where the term's df may be within the entity's bound."""
 
-def _blocks(df: DataFrame, key: str, value: str) -> list:
-    """Broadcasts {key: value} of a table, BLOCK_TERMS rows or so in each."""
-    n = max(1, -(-df.count() // BLOCK_TERMS))
-    # A block at a time on the driver.
-    parts = ({r[key]: r[value] for r in df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b).collect()} for b in range(n))
-    return [df.sparkSession.sparkContext.broadcast(p) for p in parts if p]
+    def make():
+        most, least = ents.value.reader(), terms.value.reader()
 
+        def of(text):
+            spans = base_spans(text)
+            own = [(e, most(e)) for e in {entity(text, s) for s in spans}]
+            own = [(e, m) for e, m in own if m]
+            if not own:
+                return
+            here = [(t, least(t)) for t in {t for t, _, _ in words(text, spans)}]
+            here = [(t, n) for t, n in here if n]
+            for e, m in own:
+                yield from ((e, t) for t, n in here if n <= m)
 
-def _sums(docs: DataFrame, ofs: list, *names: str) -> DataFrame:
-    """The counts of one scan for each of the functions, added up."""
-    schema = ", ".join([*(f"{c} string" for c in names), "n long"])
-    parts = [docs.mapInArrow(_counted(of, *names), schema) for of in ofs]
-    return reduce(DataFrame.union, parts).groupBy(*names).agg(F.sum("n").alias("n"))
+        return of
+
+    return make
 
 
 def disclosing(docs: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
     """(entity, term): the terms that reveal an entity more than the threshold."""
     docs = docs.select("text")
+    sc = docs.sparkSession.sparkContext
     none = docs.sparkSession.createDataFrame([], "entity string, term string")
-    often = Kept(_sums(docs, [_entities], "entity").filter(F.col("entity").isNull() | (F.col("n") >= min_docs)), "entities").df
+    often = Kept(_sums(docs, _entities, "entity").filter(F.col("entity").isNull() | (F.col("n") >= min_docs)), "entities").df
     total = float(often.filter("entity IS NULL").agg(F.sum("n")).first()[0] or 0)
     # An entity of every document has no information to disclose.
     often = often.filter(F.col("entity").isNotNull() & (F.col("n") < total)).withColumnRenamed("n", "de")
     # A little above the bound, for the rounding of powers.
     most = F.col("de") * F.pow(F.lit(total) / F.col("de"), F.lit(1 - alpha)) * (1 + 1e-9)
-    ents = _blocks(often.withColumn("most", most), "entity", "most")
-    if not ents:
-        return none
-    # Texts with entities of several blocks count more than once: still a bound.
-    beside = Kept(_sums(docs, [_terms_beside(e) for e in ents], "term").filter(F.col("n") >= min_docs), "terms").df
-    candidates = _blocks(beside, "term", "n")
-    if not candidates:
-        return none
     largest = often.agg(F.max(most)).first()[0]
-    df = Kept(_sums(docs, [_known_terms(t) for t in candidates], "term").filter(F.col("n") <= largest).withColumnRenamed("n", "df"), "frequencies").df
-    rare = _blocks(df, "term", "df")
-    if not rare:
+    if largest is None:
         return none
-    pairs = _sums(docs, [_pairs(e, t) for t in rare for e in ents], "entity", "term").filter(F.col("n") >= min_docs)
+    ents = sc.broadcast(Screen.of(often, "entity", most))
+    beside = Kept(_sums(docs, _terms_beside(ents), "term").filter(F.col("n") >= min_docs).select("term"), "terms")
+    known = sc.broadcast(Screen.of(beside.df, "term", F.lit(1)))
+    df = _sums(docs, _known_terms(known), "term").filter(F.col("n") <= largest).withColumnRenamed("n", "df")
+    df = Kept(df.join(beside.df, "term", "left_semi"), "frequencies").df
+    beside.drop()
+    rare = sc.broadcast(Screen.of(df, "term", F.col("df"), smallest=True))
+    pairs = _sums(docs, _pairs(ents, rare), "entity", "term").filter(F.col("n") >= min_docs)
     pmi = F.log(F.col("n") * F.lit(total) / (F.col("df") * F.col("de")))
     ic = -F.log(F.col("de") / F.lit(total))
     return pairs.join(often, "entity").join(df, "term").filter(pmi >= F.lit(alpha) * ic).select("entity", "term")
 
 
 def _marks_of_texts(found, everywhere: bool):
-    """(key, term) of the terms to mark in each text; the key is the text's."""
+    """(key, entity, term) of the terms that may be marked in each text, with its
+    entities (null with `everywhere`); the key is the text's."""
 
     def run(batches):
-        known = found.value
+        known = found.value.reader()
         for batch in batches:
-            out = {"key": [], "term": []}
+            out = {"key": [], "entity": [], "term": []}
             for key, text in zip(batch.column("key").to_pylist(), _texts(batch)):
                 spans = base_spans(text)
-                own = {entity(text, s) for s in spans}
-                for t in {t for t, _, _ in words(text, spans)} & known.keys():
-                    if everywhere or not own.isdisjoint(known[t]):
-                        out["key"].append(key)
-                        out["term"].append(t)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("term", pa.string())]))
+                own = [None] if everywhere else {entity(text, s) for s in spans}
+                for t in {t for t, _, _ in words(text, spans)} if own else ():
+                    if known(t):
+                        for e in own:
+                            out["key"].append(key)
+                            out["entity"].append(e)
+                            out["term"].append(t)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("entity", pa.string()), ("term", pa.string())]))
 
     return run
 
@@ -274,14 +316,13 @@ def _marked(docs: DataFrame, everywhere: bool) -> tuple[DataFrame, str]:
     repeated ids don't matter. Few marks are broadcast; more are joined by a
     shuffle."""
     key, name, own = F.xxhash64("text"), fresh(docs, "marks"), fresh(docs, "text_key")
-    names = F.lit(None) if everywhere else F.collect_set("entity")
-    found = Kept(disclosing(docs).groupBy("term").agg(names.cast("array<string>").alias("entities")), "disclosing").df
-    blocks = _blocks(found, "term", "entities")
-    if not blocks:
+    found = Kept(disclosing(docs), "disclosing").df
+    if found.isEmpty():
         return docs.withColumn(name, F.lit(None).cast("array<string>")), name
-    keyed = docs.select(key.alias("key"), "text")
-    near = reduce(DataFrame.union, [keyed.mapInArrow(_marks_of_texts(b, everywhere), "key long, term string") for b in blocks])
-    kept = Kept(near.groupBy("key").agg(F.collect_set("term").alias(name)), "marks").df
+    screen = docs.sparkSession.sparkContext.broadcast(Screen.of(found.select("term").distinct(), "term", F.lit(1)))
+    near = docs.select(key.alias("key"), "text").mapInArrow(_marks_of_texts(screen, everywhere), "key long, entity string, term string")
+    on = ["term"] if everywhere else ["entity", "term"]
+    kept = Kept(near.join(found.select(*on).distinct(), on, "left_semi").groupBy("key").agg(F.collect_set("term").alias(name)), "marks").df
     marks = kept.withColumnRenamed("key", own)
     if kept.count() <= BROADCAST_MARKS:
         marks = F.broadcast(marks)

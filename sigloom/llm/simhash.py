@@ -14,8 +14,12 @@ meet under a key are tested chain by chain before the full Hamming distance.
 Only distinct fingerprints are compared, so a group of exact copies is one row.
 Within a key's bucket links are found by search from a pivot over the rows not
 reached yet: at most one link per row leaves a bucket, never all its pairs. A
-bucket above BUCKET rows is dealt out as pairs of chunks, each in its own task,
-so no bucket has to fit in one. Components come from star contraction.
+bucket above BUCKET rows is left and dealt out by more bits: of the bits that its
+key leaves free four parts are made, one of which two linked rows must have in
+common (they differ in three bits at most). Each round asks for a quarter of the
+free bits more; when 11 or fewer are free, a bucket has 2,048 fingerprints at most,
+so the rounds end, and no row is ever paired with a whole bucket. Components come
+from star contraction.
 
 Defined results: null or blank text has fingerprint zero, linked like any
 other; component_id is the smallest doc_id, null ids not counted (all null:
@@ -25,7 +29,7 @@ null); a text's repeated rows are one fingerprint; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial, reduce
 from itertools import repeat
 
 import numpy as np
@@ -42,6 +46,7 @@ from sigloom.llm.store import Kept, partitions_for
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 BUCKET = 2048
+FEW = 11  # free bits; with so many a bucket can't grow above 2,048
 _WIDTHS = (9, 9, 9, 9, 9, 9, 10)
 _EDGES = np.concatenate([[0], np.cumsum(_WIDTHS)])
 _SEGMENTS = [((1 << w) - 1) << int(s) for w, s in zip(_WIDTHS, _EDGES)]
@@ -58,6 +63,31 @@ KEYS = [(i, _chain(i, (0, 1, *more))) for i in range(_RING) for more in ((2, 3),
 CHAINS = [[(np.uint64(_chain(i, range(n))), DISTANCE * n // _RING) for n in (4, 6)] for i in range(_RING)]
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _free_parts(mask: int) -> list[int]:
+    """The bits that a key leaves free, in four parts."""
+    free = [1 << b for b in range(64) if not mask >> b & 1]
+    return [sum(free[k::4]) for k in range(4)]
+
+
+@cache
+def mask_of(number: int) -> int:
+    """The bits of a key by its number: those of KEYS, then a part of the free ones
+    for each further digit (to base 4, from 1)."""
+    mask, rest = KEYS[number % len(KEYS)][1], number // len(KEYS)
+    digits = []
+    while rest:
+        rest -= 1
+        digits.append(rest % 4)
+        rest //= 4
+    for d in reversed(digits):
+        mask |= _free_parts(mask)[d]
+    return mask
+
+
 def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of one text's UTF-8 bytes; 0 without words."""
     words = raw.lower().split()  # bytes: A-Z only, and the six ASCII blanks
@@ -112,9 +142,15 @@ def _spanning(fps: np.ndarray, start: int) -> tuple[list, list]:
     return left, to
 
 
+def _most(number: int, bucket: int) -> int:
+    """Rows of a bucket that are compared as they are."""
+    return bucket if mask_of(number).bit_count() < 64 - FEW else max(bucket, 1 << FEW)
+
+
 def _bucket_links(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
-    """Rows (k, part, fp) sorted by (k, part): links (fp, other) of each bucket;
-    of a bucket above the size, its rows themselves."""
+    """Rows (k, part, fp) sorted by (k, part): links (fp, other) of each bucket; of
+    a bucket above the size, its rows themselves. The key's number is k modulo the
+    number of KEYS; higher digits tell the parts that later rounds asked for."""
 
     def out(a, b, k=None, part=None):
         n = len(a)
@@ -139,15 +175,15 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa
         x = fp[two] ^ fp[two + 1]
         good = np.bitwise_count(x) <= DISTANCE
         for start in range(_RING):
-            mine = np.isin(k[two], [n for n, (i, _) in enumerate(KEYS) if i == start])
+            mine = np.isin(k[two] % len(KEYS), [n for n, (i, _) in enumerate(KEYS) if i == start])
             for mask, most in CHAINS[start]:
                 good[mine] &= np.bitwise_count(x[mine] & mask) <= most
         a, b = [fp[two[good]]], [fp[two[good] + 1]]
         for s, e in zip(begin[size > 2].tolist(), end[size > 2].tolist()):
-            if e - s > bucket:
+            if e - s > _most(int(k[s]), bucket):
                 yield out(fp[s:e], None, k[s], part[s])
                 continue
-            p, q = _spanning(fp[s:e], KEYS[k[s]][0])
+            p, q = _spanning(fp[s:e], KEYS[k[s] % len(KEYS)][0])
             if p:
                 a.append(np.array(p, np.uint64))
                 b.append(np.array(q, np.uint64))
@@ -158,7 +194,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa
         held = tuple(c[tail:] for c in held)
         if hot is not None and (held[0][0], held[1][0]) != hot:
             hot = None
-        if len(held[0]) > bucket:  # it goes on, but what is here need not be kept
+        if len(held[0]) > _most(int(held[0][0]), bucket):  # it goes on, but what is here need not be kept
             hot = (held[0][0], held[1][0])
             yield out(held[2][:-1], None, *hot)
             held = tuple(c[-1:] for c in held)
@@ -173,38 +209,45 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa
         yield from runs(True)
 
 
-def _chunk_links(key, table):
-    """Links within one pair of chunks of a hot bucket."""
-    fps = np.unique(table.column("a").to_numpy().view(np.uint64))
-    a, b = _spanning(fps, KEYS[key[0].as_py()][0])
-    return pa.table({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
+def _deeper(number: int) -> list[int]:
+    """The numbers of the four keys that a key is dealt out by."""
+    return [number % len(KEYS) + len(KEYS) * (4 * (number // len(KEYS)) + d + 1) for d in range(4)]
+
+
+def _linked(rows: DataFrame, bucket: int) -> DataFrame:
+    """rows: k, part, fp."""
+    n = partitions_for(rows)
+    dealt = rows.repartition(n, "k", "part").sortWithinPartitions("k", "part").select("k", "part", "fp")
+    return dealt.mapInArrow(partial(_bucket_links, bucket=bucket), "a long, b long, k int, part long")
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) over distinct fingerprints `fp`: enough links at distance 3 or less
-    to connect all that are connected."""
-    n = partitions_for(fps, (16 << 20) // len(KEYS))
-    masks = F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for _, m in KEYS))
-    dealt = fps.select("fp", F.posexplode(masks).alias("k", "part")).repartition(n, "k", "part").sortWithinPartitions("k", "part")
-    return dealt.select("k", "part", "fp").mapInArrow(partial(_bucket_links, bucket=bucket), "a long, b long, k int, part long")
+    """(a, b) over distinct fingerprints `fp`: links at distance 3 or less that
+    connect all that are connected; and the rows of buckets above the size (b null)."""
+    masks = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for _, m in KEYS))
+    return _linked(fps.select("fp", F.posexplode(masks).alias("k", "part")), bucket)
 
 
 def link_table(fps: DataFrame, bucket: int = BUCKET) -> Kept:
-    """links(), written, with the buckets above the size dealt out as chunk pairs."""
-    first = Kept(links(fps, bucket), "links")
-    hot = first.df.filter("b IS NULL").select("k", "part", "a")
-    if hot.isEmpty():
-        return first
-    size = hot.groupBy("k", "part").agg((F.floor(F.count("*") / bucket) + 1).cast("int").alias("chunks"))
-    dealt = (
-        hot.join(size, ["k", "part"])
-        .withColumn("c", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
-        .withColumn("d", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select("k", "part", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"), "a")
-    )
-    more = dealt.groupBy("k", "part", "c", "d").applyInArrow(_chunk_links, "a long, b long")
-    both = Kept(first.df.filter("b IS NOT NULL").select("a", "b").union(more), "links")
-    first.drop()
+    """links(), written, with the buckets above the size dealt out by more bits."""
+    table = Kept(links(fps, bucket), "links")
+    left, done = table, [table]
+    while True:
+        hot = left.df.filter("b IS NULL").select("k", "part", F.col("a").alias("fp"))
+        numbers = [r["k"] for r in hot.select("k").distinct().collect()]
+        numbers.sort()
+        if not numbers:
+            break
+        deeper = {n: [(m, _signed(mask_of(m))) for m in _deeper(n)] for n in numbers}
+        pick = F.create_map(*(x for n, to in deeper.items() for x in (F.lit(n), F.array(*(F.struct(F.lit(m).alias("k"), F.lit(mask).alias("mask")) for m, mask in to)))))
+        dealt = hot.select("fp", F.explode(F.element_at(pick, F.col("k"))).alias("to")).select("fp", F.col("to.k").alias("k"), F.col("fp").bitwiseAND(F.col("to.mask")).alias("part")).distinct()
+        left = Kept(_linked(dealt, bucket), "links")
+        done.append(left)
+    if len(done) == 1:
+        return table
+    both = Kept(reduce(DataFrame.union, [t.df for t in done]).filter("b IS NOT NULL"), "links")
+    for t in done:
+        t.drop()
     return both
 
 

@@ -125,15 +125,63 @@ def test_terms_far_from_their_entity(spark):
     assert spans[64] == "term:4:11" and spans[10] == ""
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
+def slow_terms(text):
+    """(term, start, end) of words apart from entities, by other means than the operator's."""
+    taken = [(a, b) for a, _, b in slow_spans(text)]
+    out = []
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        a, b = m.span()
+        if not any(x < b and a < y for x, y in taken) and (t := re.sub(r"""^[.,;:!?()\[\]{}"'|]+|[.,;:!?()\[\]{}"'|]+$""", "", m.group()).lower()):
+            out.append((t, a, b))
+    return out
+
+
+def slow_all_spans(texts, alpha=0.9, min_docs=3):
+    """Of each text: entities, and every occurrence of a disclosing term."""
+    ents, pairs, df = {}, {}, {}
+    for t in texts:
+        own = {(k, t[a:b].lower()) for a, k, b in slow_spans(t)}
+        here = {w for w, _, _ in slow_terms(t)}
+        for w in {re.sub(r"""^[.,;:!?()\[\]{}"'|]+|[.,;:!?()\[\]{}"'|]+$""", "", x).lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t)}:
+            df[w] = df.get(w, 0) + 1
+        for e in own:
+            ents[e] = ents.get(e, 0) + 1
+            for w in here:
+                pairs[(e, w)] = pairs.get((e, w), 0) + 1
+    n = len(texts)
+    found = {w for (e, w), k in pairs.items() if k >= min_docs and ents[e] < n and math.log(k * n / (df[w] * ents[e])) >= alpha * math.log(n / ents[e]) - 1e-12}
+    return [sorted([*slow_spans(t), *((a, 4, b) for w, a, b in slow_terms(t) if w in found)]) for t in texts]
+
+
+def test_query_spans_equal_brute_force(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    names = (*PLAIN, "term")
+    want = {d: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans) for (d, _), spans in zip(rows, slow_all_spans([t for _, t in rows]))}
+    assert {r.doc_id: r.spans for r in P.op8_pii(spark, sf).collect()} == want
+    texts = [t or "" for t in corpus()] + [t for _, t in rows][:50]
+    df = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in enumerate(texts)], SCHEMA)
+    lines = [",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans) for spans in slow_all_spans(texts)]
+    assert {r.doc_id: r.spans for r in P.annotate(df, everywhere=True).collect()} == dict(enumerate(lines))
+    assert any("term" in v for v in lines)
+
+
+def test_crowded_screens_change_nothing(spark, monkeypatch):
+    """Screens of so few slots that all keys share them still lose and add nothing."""
     texts = [f"{a} with {b} of {w}@corp.example.org" for w, a, b in (("bob", "zorbax", "quill"), ("eve", "vantor", "marl")) for _ in range(4)]
     texts += [f"people with number {i} of it" for i in range(40)] + ["quill"]
     df = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in enumerate(texts)], SCHEMA)
     want = {tuple(r) for r in P.disclosing(df).collect()}
-    spans = sorted(map(tuple, P.annotate(df, everywhere=True).collect()))
-    monkeypatch.setattr(P, "BLOCK_TERMS", 1)
+    spans = [sorted(map(tuple, P.annotate(df, everywhere=e).collect())) for e in (True, False)]
+    monkeypatch.setattr(P, "SCREEN_BITS", 0)
+    monkeypatch.setattr(P, "REMEMBERED", 2)
     assert {tuple(r) for r in P.disclosing(df).collect()} == want and len(want) == 4
-    assert sorted(map(tuple, P.annotate(df, everywhere=True).collect())) == spans
+    assert [sorted(map(tuple, P.annotate(df, everywhere=e).collect())) for e in (True, False)] == spans
+
+
+def test_many_entities_in_one_text(spark):
+    text = " ".join(f"word{i % 50} user{i}@corp.example.org" for i in range(20_000))
+    df = spark.createDataFrame([(i, text if i < 2 else "word1 and more", "x", "y", 0) for i in range(6)], SCHEMA)
+    assert {r.doc_id: r.n_email for r in P.annotate(df, everywhere=True).collect()} == {0: 20_000, 1: 20_000} | {i: 0 for i in range(2, 6)}
 
 
 def test_terms_with_other_blanks(spark):

@@ -78,7 +78,7 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("bucket", [4, 2048])
 def test_links_keep_every_connection(spark, bucket):
-    """A dense cloud, chains, and noise; a small bucket size forces chunk pairs."""
+    """A dense cloud, chains, a hot bucket and noise; a small bucket size forces rounds."""
     r = random.Random(5)
     fps = set()
     for _ in range(6):
@@ -89,6 +89,9 @@ def test_links_keep_every_connection(spark, bucket):
             f ^= sum(1 << b for b in r.sample(range(64), 3))
             fps.add(f)
     fps |= {r.getrandbits(64) for _ in range(100)}
+    # All agree in the first 40 bits, so every bucket of some keys is hot.
+    base = r.getrandbits(40)
+    fps |= {base | r.getrandbits(24) << 40 for _ in range(600)}
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     table = S.link_table(df, bucket)
     assert (bucket == 4) == (not S.links(df, bucket).filter('b IS NULL').isEmpty())
@@ -117,3 +120,15 @@ def test_keep_one_of_each_group_with_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = S.keep_one(docs)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted([(1, a), (1, b), (4, c)])
+
+
+def test_keys_of_later_rounds_miss_no_pair():
+    """Two fingerprints that agree under a key share one of its four deeper keys."""
+    r = random.Random(6)
+    for number in range(len(S.KEYS)):
+        for _ in range(5):
+            m = S.mask_of(number)
+            free = [b for b in range(64) if not m >> b & 1]
+            diff = sum(1 << b for b in r.sample(free, 3))
+            assert any(diff & S.mask_of(d) == 0 for d in S._deeper(number))
+            number = r.choice(S._deeper(number))
