@@ -106,15 +106,15 @@ def _cut_out(length: int):
     return run
 
 
-def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = R.HOT) -> DataFrame:
+def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy: int = R.BUSY) -> DataFrame:
     """(k, t, start, n): all runs of windows that occur elsewhere too."""
-    return R.found_runs(docs, shape(length, gram), repeated_windows(length), SHARD_BYTES, hot)
+    return R.found_runs(docs, shape(length, gram), repeated_windows(length), SHARD_BYTES, busy)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = R.HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy: int = R.BUSY) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return R.marked(docs, removed_runs(docs, length, gram, hot)).mapInArrow(_cut_out(length), schema)
+    return R.marked(docs, removed_runs(docs, length, gram, busy)).mapInArrow(_cut_out(length), schema)
 
 
 def op2_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,9 @@ by the caller's index (suffix array, FM-index) on the items themselves.
    anchor. A task sends equal contents once, with their first and last place; places
    between them go their own way, to no shard in particular.
 3. A shard's index holds its different contents, each with its first and last place,
-   and decides which windows of the first one go and which of the later ones. An
-   anchor with more than HOT different contents (the edge of a very common passage)
-   is left, and its contents are dealt out once more by whole windows.
+   and decides which windows of the first one go and which of the later ones. The
+   contents of an anchor asked for more than BUSY times (the edge of a very common
+   passage) are merged by content first, and then dealt out by whole windows.
 4. Runs of windows of first and last places are ready then; the verdict for the places
    between is joined to them (adaptive execution splits what is hot). `marked` joins
    the runs back to the documents.
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ from sigloom.llm.store import Kept, free_shuffles, partitions_for
 
 NO_ID = -(1 << 63)
 FLUSH = 1 << 17  # contexts that a task holds before it deals them out
-#: Anchors with more different contents than this are dealt out by whole windows.
-HOT = 5000
+#: The contents of anchors asked for more often than this are dealt out by whole windows.
+BUSY = 20_000
 _PLACE = A.U64((1 << 32) - 1)
 
 ENTRY = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("text", "<i4"), ("start", "<u4"), ("n", "<u2"), ("asked", "u1")])
@@ -202,9 +203,11 @@ def _spread(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.repartition(n, "k", "t") if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-#: Contents (with items, first and last place), dealt out by their anchor, and places
-#: between those (without items), dealt out evenly.
-CUT = "route long, c1 long, c2 long, n int, items binary, k long, t int, s long, k2 long, t2 int, s2 long"
+#: A content of a flush: route, first and last place, its windows, bytes, whether the
+#: flush has places between, and whether its anchor is busy.
+HEAD = np.dtype([("route", "<u8"), ("k", "<i8"), ("t", "<i4"), ("s", "<u4"), ("k2", "<i8"), ("t2", "<i4"), ("s2", "<u4"), ("n", "<u2"), ("size", "<u4"), ("more", "u1"), ("busy", "u1")])
+#: A place between the first and the last of a content.
+SPOT = np.dtype([("c1", "<i8"), ("c2", "<i8"), ("k", "<i8"), ("t", "<i4"), ("s", "<u4")])
 _TYPES = {"route": pa.int64(), "kind": pa.int32(), "c1": pa.int64(), "c2": pa.int64(), "n": pa.int32(), "items": pa.binary(), "k": pa.int64(), "t": pa.int32(), "s": pa.int64(), "k2": pa.int64(), "t2": pa.int32(), "s2": pa.int64(), "off": pa.int32(), "first": pa.bool_()}
 
 
@@ -234,18 +237,32 @@ def _content_id(items: bytes) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _cut(shape: Shape):
-    def rows(found: dict) -> pa.RecordBatch:
-        out = _Out(CUT)
-        for items, (anchor, n, places) in found.items():
+def _packed(found: dict, shards: int) -> pa.RecordBatch:
+    """A flush's contents by shard (kind 0), and the places between (kind 1)."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    heads, contents, spots = np.empty(len(found), HEAD), list(found), []
+    rows = []
+    for items, (anchor, n, places) in found.items():
+        lo, hi = min(places), max(places)
+        busy = anchor is None
+        rows.append(((xxhash.xxh64_intdigest(items) if busy else anchor), *lo, *hi, n, len(items), len(places) > 2, busy))
+        if len(places) > 2:
             c1, c2 = _content_id(items)
-            lo, hi = min(places), max(places)
-            out.add(anchor, c1, c2, n, items, *lo, *hi)
-            if len(places) > 2:
-                for k, t, s in places - {lo, hi}:
-                    out.add(c1 ^ s, c1, c2, n, None, k, t, s, None, None, None)
-        return out.batch()
+            spots += [(c1, c2, *p) for p in places if p != lo and p != hi]
+    heads[:] = rows
+    bucket = ((A.mix(heads["route"]) >> A.U64(32)) * A.U64(shards) >> A.U64(32)).astype(np.int64)
+    turn = np.argsort(bucket, kind="stable")
+    heads, bucket = heads[turn], bucket[turn]
+    contents = [contents[i] for i in turn.tolist()]
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    out = [(int(bucket[a]), 0, b - a, pack(heads[a:b].tobytes() + b"".join(contents[a:b]))) for a, b in zip(edges[:-1], edges[1:])] if len(bucket) else []
+    for a in range(0, len(spots), 1 << 14):
+        some = np.array(spots[a : a + (1 << 14)], SPOT)
+        out.append((int(A.mix(some["c1"][:1].view(A.U64))[0]) % shards, 1, len(some), pack(some.tobytes())))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.binary())], ["bucket", "kind", "rows", "blob"])
 
+
+def _cut(shape: Shape, shards: int):
     def run(batches):
         found: dict = {}
         held = 0
@@ -256,30 +273,35 @@ def _cut(shape: Shape):
                 get, base = shape.cutter(buf, offs)
                 for d in range(first, last):
                     own = lists[d].values
-                    ats, anchors = own.field(0).to_pylist(), own.field(1).to_pylist()
+                    ats, anchors = own.field(0).to_pylist(), own.field(1).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+                    busy = own.field(2).to_pylist()
                     k, t, b = ks[d], ts[d], int(base[d - first])
-                    for at, anchor in zip(ats, anchors):
+                    for at, anchor, much in zip(ats, anchors, busy):
                         s, n = at >> 16, at & 0xFFFF
                         items = get(b + s, b + s + n + shape.length - 1)
                         had = found.get(items)
                         if had is None:
-                            found[items] = (anchor, n, {(k, t, s)})
+                            found[items] = (None if much else anchor, n, {(k, t, s)})
                         else:
                             had[2].add((k, t, s))
                     held += len(ats)
                 if held >= FLUSH:
-                    yield rows(found)
+                    yield _packed(found, shards)
                     found, held = {}, 0
         if found:
-            yield rows(found)
+            yield _packed(found, shards)
 
     return run
 
 
-def cut(docs: DataFrame, asked: DataFrame, shape: Shape) -> DataFrame:
-    """Step 2: CUT rows."""
-    lists = _spread(asked, docs).groupBy("k", "t").agg(F.collect_list(F.struct("at", "anchor")).alias("asks"))
-    return _spread(keyed(docs), docs).join(lists, ["k", "t"]).mapInArrow(_cut(shape), CUT)
+def cut(docs: DataFrame, asked: DataFrame, shape: Shape, shards: int, busy: int) -> DataFrame:
+    """Step 2: contents and places between, packed by shard."""
+    often = asked.groupBy("anchor").count().filter(F.col("count") > busy).select("anchor", F.lit(True).alias("busy"))
+    flagged = asked.join(often, "anchor", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
+    if often.isEmpty():
+        flagged = asked.withColumn("busy", F.lit(False))
+    lists = _spread(flagged, docs).groupBy("k", "t").agg(F.collect_list(F.struct("at", "anchor", "busy")).alias("asks"))
+    return _spread(keyed(docs), docs).join(lists, ["k", "t"]).mapInArrow(_cut(shape, shards), "bucket int, kind int, rows int, blob binary")
 
 
 @dataclass
@@ -291,11 +313,12 @@ class Content:
     items: bytes
     lo: tuple
     hi: tuple
+    more: bool = False  # it has places between them
 
 
 #: What a shard leaves, by kind: RUN (k, t, s, n) of windows that go; REST, a run
 #: (off, n) of a content's later places, with its first place; PLACE of a content
-#: between its first and last; OPEN, a content of a hot anchor.
+#: between its first and last; OPEN, a content of a busy anchor.
 DECIDED = "kind int, c1 long, c2 long, n int, items binary, k long, t int, s long, k2 long, t2 int, s2 long, off int"
 RUN, REST, PLACE, OPEN = range(4)
 
@@ -314,58 +337,73 @@ def _judge(decide: Callable, shard: list[Content], out: _Out) -> None:
             continue
         for off, n in _runs(rest):
             out.add(RUN, None, None, n, None, c.hi[0], c.hi[1], c.hi[2] + off, None, None, None, None)
-            # Middle places may also come to light elsewhere, from a task that sent several.
-            out.add(REST, *c.key, n, None, k, t, s, None, None, None, off)
+            if c.more:
+                out.add(REST, *_content_id(c.items), n, None, k, t, s, None, None, None, off)
+
+
+def _unpacked(batches):
+    """A shard's content rows (route, items, first, last, n, more, busy), unordered,
+    and its places between, as lists."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    rows, spots = [], []
+    for batch in batches:
+        for kind, m, blob in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), batch.column("blob")):
+            raw = unpack(blob.as_py())
+            if kind:
+                spots.append(np.frombuffer(raw, SPOT))
+                continue
+            heads = np.frombuffer(raw, HEAD, m)
+            at = np.concatenate([[0], np.cumsum(heads["size"], dtype=np.int64)]) + m * HEAD.itemsize
+            at = at.tolist()
+            for (route, k, t, s, k2, t2, s2, n, _, more, busy), a, b in zip(heads.tolist(), at, at[1:]):
+                rows.append((route, raw[a:b], (k, t, s), (k2, t2, s2), n, more, busy))
+    return rows, spots
 
 
-def _decide(decide: Callable, limit: int, hot: int):
+def _decide(decide: Callable, limit: int):
     """decide: list of Content -> a pair of masks of each one's windows, for its
     first place and for the later ones."""
 
     def run(batches):
         out = _Out(DECIDED)
-        held: dict = {}  # of anchors before this one
+        rows, spots = _unpacked(batches)
+        for some in spots:
+            for c1, c2, k, t, s in some.tolist():
+                out.add(PLACE, c1, c2, None, None, k, t, s, None, None, None, None)
+            if len(out.columns[0]) > FLUSH:
+                yield out.batch()
+        rows.sort(key=lambda r: r[0])
+        held: list[Content] = []  # of routes before this one
         own: dict = {}  # of this one
-        size, before, is_hot = 0, None, False
-
-        def left_open(c: Content) -> None:
-            out.add(OPEN, *c.key, c.n, c.items, *c.lo, *c.hi, None)
-
-        for batch in batches:
-            for route, c1, c2, n, items, k, t, s, k2, t2, s2 in _rows_of(batch, CUT):
-                if items is None:
-                    out.add(PLACE, c1, c2, None, None, k, t, s, None, None, None, None)
-                    continue
-                if route != before:
-                    held |= own
-                    own, before, is_hot = {}, route, False
-                    if size >= limit:
-                        _judge(decide, list(held.values()), out)
-                        yield out.batch()
-                        held, size = {}, 0
-                new = Content((c1, c2), n, items, (k, t, s), (k2, t2, s2))
-                if is_hot:
-                    left_open(new)
-                    continue
-                had = own.get(new.key)
-                if had is None:
-                    own[new.key] = new
-                    size += len(items)
-                    if len(own) > hot:
-                        is_hot = True
-                        for c in own.values():
-                            left_open(c)
-                        own = {}
-                    continue
-                if had.items != items:
-                    raise ValueError("two contents have one 128-bit hash")
-                lo, hi = min(had.lo, new.lo), max(had.hi, new.hi)
-                for place in {had.lo, had.hi, new.lo, new.hi} - {lo, hi}:
-                    out.add(PLACE, c1, c2, None, None, *place, None, None, None, None)
-                had.lo, had.hi = lo, hi
-        held |= own
+        size, before = 0, None
+        for k in range(len(rows)):
+            route, items, lo, hi, n, more, busy = rows[k]
+            rows[k] = None
+            if route != before:
+                held += own.values()
+                own, before = {}, route
+                if size >= limit:
+                    _judge(decide, held, out)
+                    yield out.batch()
+                    held, size = [], 0
+            if busy:
+                out.add(OPEN, *_content_id(items), n, items, *lo, *hi, None)
+                continue
+            had = own.get(items)
+            if had is None:
+                own[items] = Content((), n, items, lo, hi, bool(more))
+                size += len(items)
+                continue
+            least, most = min(had.lo, lo), max(had.hi, hi)
+            between = {had.lo, had.hi, lo, hi} - {least, most}
+            if between:
+                ids = _content_id(items)
+                for place in between:
+                    out.add(PLACE, *ids, None, None, *place, None, None, None, None)
+            had.lo, had.hi, had.more = least, most, had.more or bool(more) or bool(between)
+        held += own.values()
         if held:
-            _judge(decide, list(held.values()), out)
+            _judge(decide, held, out)
         yield out.batch()
 
     return run
@@ -411,7 +449,7 @@ def _window_rows(shape: Shape):
 
 
 def _decide_windows(decide: Callable, limit: int):
-    """As _decide, for single windows of hot contents; VERDICT rows. Equal windows of
+    """As _decide, for single windows of such contents; VERDICT rows. Equal windows of
     different contents are one string with all their places."""
 
     def judged(held: list[Content]) -> pa.RecordBatch:
@@ -448,7 +486,7 @@ def _decide_windows(decide: Callable, limit: int):
 
 
 def _open_verdicts(left: DataFrame, shards: int, shape: Shape, decide: Callable, limit: int) -> DataFrame:
-    """VERDICT rows of the contents that hot anchors left open: their windows are
+    """VERDICT rows of the contents that busy anchors left open: their windows are
     dealt out each by itself. Those that no other window's hash equals go nowhere."""
     place = lambda f, *c: f(F.struct(*c))
     much = left.groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("items").alias("items"), place(F.min, "k", "t", "s").alias("lo"), place(F.max, "k2", "t2", "s2").alias("hi"))
@@ -461,15 +499,13 @@ def _open_verdicts(left: DataFrame, shards: int, shape: Shape, decide: Callable,
     return windows.repartition(shards, "route").sortWithinPartitions("route").mapInArrow(_decide_windows(decide, limit), VERDICT)
 
 
-def found_runs(docs: DataFrame, shape: Shape, decide: Callable, limit: int, hot: int = HOT) -> DataFrame:
+def found_runs(docs: DataFrame, shape: Shape, decide: Callable, limit: int, busy: int = BUSY) -> DataFrame:
     """(k, t, start, n): the runs of windows that `decide` marks."""
     shards = partitions_for(docs, 24 << 20)
     asked = gather(docs, shape)
     free_shuffles(docs.sparkSession)
-    contents = cut(docs, asked.df, shape).repartition(shards, "route").sortWithinPartitions("route")
-    decided = Kept(contents.mapInArrow(_decide(decide, limit, hot), DECIDED), "decided").df
+    decided = Kept(cut(docs, asked.df, shape, shards, busy).repartitionById(shards, "bucket").mapInArrow(_decide(decide, limit), DECIDED), "decided").df
     asked.drop()
-    del contents
     free_shuffles(docs.sparkSession)
     runs = decided.filter(F.col("kind") == RUN).select("k", "t", F.col("s").alias("start"), "n")
     place = lambda df, k, t, s: df.select("c1", "c2", F.col(k).alias("pk"), F.col(t).alias("pt"), F.col(s).alias("ps"))

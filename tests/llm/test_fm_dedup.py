@@ -72,11 +72,11 @@ def test_hot_anchors_and_repeated_rows(spark):
     own = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
     passage = own(60)
     rows = [(i, f"{own(40)} {passage} {own(40)}", "s", 1) for i in range(40)] + [(50, own(120), "s", 1)]
-    rows += [rows[3], rows[-1]]
+    rows += [rows[3], rows[-1]] + [(60 + i, rows[i % 3][1], "s", 1) for i in range(30)]
     df = spark.createDataFrame(rows, SCHEMA)
     want = slow([x[:2] for x in rows], LENGTH)
     assert got(D.deduplicate(df)) == want
-    assert got(D.deduplicate(df, hot=5)) == want
+    assert got(D.deduplicate(df, busy=5)) == want
 
 
 def test_empty_table(spark):
