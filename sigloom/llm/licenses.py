@@ -98,7 +98,7 @@ def _words(buf, offs):
     """Word hashes, their byte spans, and the rows' offsets into them."""
     low = A.LOWER[buf]
     starts, ends, rows = A.word_spans(low, offs, A.ALNUM)
-    return A.span_hash(A.byte_sums(low, 1), starts, ends, 1), starts, ends, rows
+    return A.word_hash(low, starts, ends), starts, ends, rows
 
 
 def winnow(hashes: np.ndarray, window: int = WINNOW) -> np.ndarray:

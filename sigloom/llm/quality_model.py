@@ -3,9 +3,11 @@
 Statistics of each document (lengths, character and line shares, repetition)
 are standardised and mapped to FEATURES random cosines, whose inner products
 approximate a Gaussian kernel. Every partition of the training rows sums its
-part of the normal equations, the parts are summed by row of the matrix, and the
-driver solves one system of FEATURES + 1 unknowns. Ridge scores are binned, and
-pool-adjacent-violators on the bins' label shares gives a monotone calibration.
+part of the normal equations, the parts are summed by fold and row of the matrix,
+and the driver solves one system of FEATURES + 1 unknowns over all folds, and one
+without each fold. Every training row is scored by the system that hasn't seen its
+fold; these scores are binned, and pool-adjacent-violators on the bins' label shares
+gives a monotone calibration.
 
 The text is read once: statistics are written to the shared folder and serve
 both fitting and scoring. Training rows are bounded: with more than FIT_ROWS of
@@ -33,6 +35,7 @@ FEATURES, WIDTH, RIDGE, SEED = 192, 0.35, 1e-3, 7
 FIT_ROWS = 200_000
 PARTS = 64  # partitions of the training rows, at most
 BINS = 512
+FOLDS = 4
 STATS = (
     "log_words", "log_bytes", "word_bytes", "word_spread", "upper", "digit", "symbol", "exclaim", "point", "line_words",
     "other_bytes", "distinct_words", "echo", "common_words", "piped_words", "repeated_lines", "first_upper", "long_words",
@@ -54,15 +57,13 @@ _NOT_BREAK = ~_class("\n")
 
 def _hash_of(word: str) -> int:
     raw = np.frombuffer(word.encode(), np.uint8)
-    return A.span_hash(A.byte_sums(raw, 1), np.array([0]), np.array([len(raw)]), 1)[0]
+    return A.word_hash(raw, np.array([0]), np.array([len(raw)]))[0]
 
 
 def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """The STATS of each document of a piece, one row each."""
     starts, ends, rows = A.word_spans(buf, offs, A.BLANK)
-    words = A.span_hash(A.byte_sums(buf, 1), starts, ends, 1)
-    lower = A.LOWER[buf]
-    low = A.span_hash(A.byte_sums(lower, 1), starts, ends, 1)
+    words, low = A.word_hash(buf, starts, ends), A.word_hash(A.LOWER[buf], starts, ends)
     n, size = np.diff(rows).astype(float), np.diff(offs).astype(float)
 
     def per_doc(mask, at):
@@ -78,7 +79,7 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     echo[rows[:-1][n > 0]] = False
     lone_pipe = (length == 1) & (buf[starts] == ord("|")) if len(starts) else np.zeros(0, bool)
     line_a, line_b, lines = A.word_spans(buf, offs, _NOT_BREAK)
-    line_hash = A.span_hash(A.byte_sums(buf, 1), line_a, line_b, 1)
+    line_hash = A.word_hash(buf, line_a, line_b)
     distinct = np.array([len(np.unique(words[a:b])) for a, b in zip(rows[:-1], rows[1:])])
     distinct_lines = np.array([len(np.unique(line_hash[a:b])) for a, b in zip(lines[:-1], lines[1:])])
     n_lines = np.diff(lines)
@@ -125,30 +126,40 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _normal_parts(model):
-    """A partition's sums of features x (features, label), a row for each feature."""
+    """A partition's sums of features x (features, label), a row for each fold and feature."""
 
     def run(batches):
-        m, total = model.value, np.zeros((FEATURES + 1, FEATURES + 2))
+        m, total = model.value, np.zeros((FOLDS, FEATURES + 1, FEATURES + 2))
         for batch in batches:
-            f = m.features(_matrix(batch))
-            total += f.T @ np.column_stack([f, batch.column("label").to_numpy(zero_copy_only=False)])
-        yield pa.RecordBatch.from_arrays([pa.array(range(FEATURES + 1), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "part"])
+            x, fold = np.column_stack([m.features(_matrix(batch)), batch.column("label").to_numpy(zero_copy_only=False)]), batch.column("fold").to_numpy()
+            for k in range(FOLDS):
+                own = x[fold == k]
+                total[k] += own[:, :-1].T @ own
+        fold, i = np.divmod(np.arange(FOLDS * (FEATURES + 1)), FEATURES + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(fold.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(list(total.reshape(-1, FEATURES + 2)), pa.list_(pa.float64()))], ["fold", "i", "part"])
 
     return run
 
 
 def _sum_parts(key, table):
     total = np.sum([np.asarray(v.values) for v in table.column("part")], axis=0)
-    return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total], pa.list_(pa.float64()))})
+    return pa.table({"fold": pa.array([key[0].as_py()], pa.int32()), "i": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([total], pa.list_(pa.float64()))})
 
 
-def _bins(model, low, high):
-    """Rows and label sums of the raw scores' bins."""
+def solve(total: np.ndarray) -> np.ndarray:
+    """Ridge weights from sums of features x (features, label)."""
+    n = max(1.0, total[-1, -2])  # the last feature is 1
+    return np.linalg.solve(total[:, :-1] + RIDGE * n / FEATURES * np.eye(FEATURES + 1), total[:, -1])
+
+
+def _bins(model, weights, low, high):
+    """Rows and label sums of the bins of scores by the weights that haven't seen a row's fold."""
 
     def run(batches):
         n, s = np.zeros(BINS, np.int64), np.zeros(BINS)
         for batch in batches:
-            at = np.clip(((model.value.raw(_matrix(batch)) - low) / (high - low) * BINS).astype(int), 0, BINS - 1)
+            raw = (model.value.features(_matrix(batch)) * weights[batch.column("fold").to_numpy()]).sum(axis=1)
+            at = np.clip(((raw - low) / (high - low) * BINS).astype(int), 0, BINS - 1)
             n += np.bincount(at, minlength=BINS)
             s += np.bincount(at, batch.column("label").to_numpy(zero_copy_only=False), BINS)
         yield pa.RecordBatch.from_arrays([pa.array(range(BINS), pa.int32()), pa.array(n), pa.array(s)], ["bin", "n", "s"])
@@ -175,19 +186,22 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     n = rows.count()
     if n > fit_rows:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * fit_rows / n))
-    kept = Kept(rows.select("label", *STATS).coalesce(PARTS), "training")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    kept = Kept(rows.select("label", fold.alias("fold"), *STATS).coalesce(PARTS), "training")
     rows = kept.df
     moments = rows.agg(F.count("*"), *(f(c) for c in STATS for f in (F.avg, F.stddev_pop))).first()
     if not moments[0]:
         return Model(np.zeros(len(STATS)), np.ones(len(STATS)), None, np.array([0.0]), np.array([0.5]))
     mean, std = np.array(moments[1::2], float), np.array(moments[2::2], float)
     model = Model(mean, np.maximum(std, 1e-6), None, np.array([0.0]), np.array([0.5]))
-    parts = rows.mapInArrow(_normal_parts(sc.broadcast(model)), "i int, part array<double>").groupBy("i").applyInArrow(_sum_parts, "i int, part array<double>")
-    total = np.array([r["part"] for r in parts.orderBy("i").collect()])
-    gram, right = total[:, :-1], total[:, -1]
-    model.weights = np.linalg.solve(gram + RIDGE * moments[0] / FEATURES * np.eye(FEATURES + 1), right)
+    schema = "fold int, i int, part array<double>"
+    parts = rows.mapInArrow(_normal_parts(sc.broadcast(model)), schema).groupBy("fold", "i").applyInArrow(_sum_parts, schema)
+    folds = np.array([r["part"] for r in parts.orderBy("fold", "i").collect()]).reshape(FOLDS, FEATURES + 1, FEATURES + 2)
+    total = folds.sum(axis=0)
+    model.weights = solve(total)
+    unseen = np.array([solve(total - f) for f in folds])
     low, high = -0.5, 1.5
-    bins = rows.mapInArrow(_bins(sc.broadcast(model), low, high), "bin int, n long, s double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).filter("n > 0").orderBy("bin").collect()
+    bins = rows.mapInArrow(_bins(sc.broadcast(model), unseen, low, high), "bin int, n long, s double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).filter("n > 0").orderBy("bin").collect()
     model.knots = low + (np.array([r["bin"] for r in bins]) + 0.5) * (high - low) / BINS
     model.values = isotonic(np.array([r["n"] for r in bins], float), np.array([r["s"] for r in bins], float))
     kept.drop()

@@ -4,12 +4,13 @@ Features are the words of a document (lower-cased, presence only) and their
 first 4, 5 and 6 bytes, so that inflected forms share evidence. The model is a
 sparse logistic regression fitted on the driver on a bounded sample of labelled
 rows: at most FIT_ROWS of each label, chosen by hash of their ids, equal texts
-once. Features with little evidence are left out beforehand, and an L1 penalty
-leaves few of the others, so that rare words of long texts aren't learnt by
-heart. For every labelled
-sentence of the sample with an identity term, the term is swapped for the others
-of its group, and squared changes of the sentence's logit are penalised: what
-the score gains from a neutral mention of a group is pressed to nothing.
+once, whatever their length. Of their features the MAX_FEATURES with most evidence
+(counted on the executors) take part, and those of the sample's identity terms; an L1 penalty
+leaves few of them, so that rare words of long texts aren't learnt by heart. For
+every labelled sentence of the sample with an identity term, the term is swapped for
+the others of its group, and squared changes of the sentence's logit are penalised:
+what the score gains from a neutral mention of a group is pressed to nothing. Swaps
+are counted on the executors too; the driver sees each different change once.
 
 Scoring is one scan without a shuffle: feature hashes are looked up in the
 model, which has at most MAX_FEATURES entries and is all that is broadcast.
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 
 from sigloom.llm import arrays as A
 from sigloom.llm.lookup import Lookup
+from sigloom.llm.store import Kept
 
 FIT_ROWS = 2000  # of each label
-FIT_FEATURES = 6000  # distinct features of a training document; larger ones are not sampled
 MAX_FEATURES = 16384
+FLUSH = 1 << 20  # features that a task holds before it adds them up
 MIN_EVIDENCE = 12.0  # a feature's likelihood ratio against independence of the label
 TOXIC_WEIGHT = 0.3  # of the toxic rows of the sample, all rows together being 1
 PREFIXES = (4, 5, 6)
@@ -67,10 +69,9 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Feature hashes of each word, one row each kind, and the rows' offsets."""
     low = A.LOWER[buf]
     starts, ends, rows = A.word_spans(low, offs, A.ALNUM)
-    sums = A.byte_sums(low, 1)
-    kinds = [A.span_hash(sums, starts, ends, 1)]
+    kinds = [A.word_hash(low, starts, ends)]
     for k in PREFIXES:
-        h = A.span_hash(sums, starts, np.minimum(starts + k, ends), 1)
+        h = A.word_hash(low, starts, np.minimum(starts + k, ends))
         kinds.append(A.mix(h + A.U64(k)))
     return np.stack(kinds), rows
 
@@ -91,31 +92,57 @@ def swaps(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def _training_rows(chosen):
-    """(label, features) of the sampled documents, and (null, added, dropped)
-    features of their counterfactual pairs."""
+def _counts(batches):
+    """(feature, n1, n): the texts with each feature, and the toxic ones of them."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([k for _, k in held]), return_inverse=True)
+        label = np.repeat([t for t, _ in held], [len(k) for _, k in held])
+        n1, n = np.bincount(at, label, len(keys)), np.bincount(at, minlength=len(keys))
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n1.astype(np.int64)), pa.array(n.astype(np.int64))], ["feature", "n1", "n"])
+
+    held, size = [(0, np.empty(0, np.uint64))], 0
+    for batch in batches:
+        for toxic, v in zip(batch.column("toxic").to_pylist(), batch.column("text")):
+            held.append((toxic, _of_text(v.as_py() or "")))
+            size += len(held[-1][1])
+            if size > FLUSH:
+                yield rows(held)
+                held, size = [(0, np.empty(0, np.uint64))], 0
+    yield rows(held)
+
+
+def _evidence(t1: int, t: int) -> Column:
+    """Likelihood ratio (G) of a feature's counts against independence: n1 of its n
+    texts are toxic, t1 of all t."""
+    n1, n = F.col("n1"), F.col("n")
+    cells = ((n1, n * t1 / t), (n - n1, n * (t - t1) / t), (t1 - n1, (t - n) * t1 / t), (t - n - t1 + n1, (t - n) * (t - t1) / t))
+    return 2 * sum((F.when(k > 0, k * F.log(k / e)).otherwise(0.0) for k, e in cells), F.lit(0.0))
+
+
+_KINDS = "kind int, toxic int, added array<long>, dropped array<long>"
+
+
+def _sample_rows(keys):
+    """Of each text of the sample the features that take part (kind 0), and those that
+    each swap adds and drops (kind 1)."""
 
     def run(batches):
-        labels = chosen.value
+        look = Lookup(keys.value)
+        own = lambda text: np.unique(look.find(_of_text(text))[1])
         for batch in batches:
-            out = {"toxic": [], "features": [], "dropped": []}
-            for d, v in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                if d not in labels:
-                    continue
+            out = {"kind": [], "toxic": [], "added": [], "dropped": []}
+            for toxic, v in zip(batch.column("toxic").to_pylist(), batch.column("text")):
                 text = v.as_py() or ""
-                own = _of_text(text)
-                if len(own) > FIT_FEATURES:
-                    continue
-                out["toxic"].append(labels[d])
-                out["features"].append(own.view(np.int64))
-                out["dropped"].append(None)
+                rows = [(0, toxic, own(text), None)]
                 for a, b in swaps(text):
-                    a, b = _of_text(a), _of_text(b)
-                    out["toxic"].append(None)
-                    out["features"].append(np.setdiff1d(b, a).view(np.int64))
-                    out["dropped"].append(np.setdiff1d(a, b).view(np.int64))
+                    a, b = own(a), own(b)
+                    rows.append((1, None, np.setdiff1d(b, a), np.setdiff1d(a, b)))
+                for row in rows:
+                    for c, x in zip(out.values(), row):
+                        c.append(x)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("toxic", pa.int32()), ("features", longs), ("dropped", longs)]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("kind", pa.int32()), ("toxic", pa.int32()), ("added", longs), ("dropped", longs)]))
 
     return run
 
@@ -145,51 +172,34 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _evidence(n1, n, t1, t):
-    """Likelihood ratio (G) of each feature's counts against independence:
-    n1 of its n documents are toxic, t1 of all t."""
-    cells = ((n1, n * t1 / t), (n - n1, n * (t - t1) / t), (t1 - n1, (t - n) * t1 / t), (t - n - t1 + n1, (t - n) * (t - t1) / t))
-    return 2 * sum(np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0) for k, e in cells)
-
-
-def train(docs: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], share: float, penalty: float = COUNTERFACTUAL) -> Model:
-    """Accelerated proximal gradient on weighted log loss, L1, and the
-    counterfactual penalty: the mean squared change of a pair's logit.
-    share: of toxic rows among all labelled ones, for want of one label."""
-    if not len(docs) or toxic.all() or not toxic.any():
+def train(keys: np.ndarray, docs: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple], share: float, penalty: float = COUNTERFACTUAL) -> Model:
+    """Accelerated proximal gradient on weighted log loss, L1, and the counterfactual
+    penalty: the mean squared change of a swap's logit. docs: places of their features
+    in keys; pairs: (places added, places dropped, how often); share: of toxic rows
+    among all labelled ones, for want of one label."""
+    if not len(docs) or toxic.all() or not toxic.any() or not len(keys):
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(max(share, 1e-17) / max(1 - share, 1e-17))))
-    keys, inverse = np.unique(np.concatenate(docs), return_inverse=True)
-    if not len(keys):
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(share / (1 - share))))
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    n1, n = np.bincount(inverse, toxic[doc], len(keys)), np.bincount(inverse, minlength=len(keys))
-    worth = _evidence(n1, n, toxic.sum(), len(toxic))
-    best = np.argsort(-worth, kind="stable")[:MAX_FEATURES]
-    best = np.sort(best[worth[best] > min(MIN_EVIDENCE, worth.max() / 2)])
-    slot = np.full(len(keys), -1)
-    slot[best] = np.arange(len(best))
-    keys, f = keys[best], slot[inverse]
-    doc, f = doc[f >= 0], f[f >= 0]
+    doc, f = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs).astype(np.int64)
     weight = np.where(toxic, TOXIC_WEIGHT / toxic.sum(), (1 - TOXIC_WEIGHT) / (~toxic).sum())
     # Counterfactual differences as (pair, feature, +1 or -1).
-    look = Lookup(keys)
-    hits = [(p, look.find(side)[1], sign) for p, pair in enumerate(pairs) for side, sign in zip(pair, (1.0, -1.0))]
+    hits = [(p, np.asarray(side, np.int64), sign) for p, pair in enumerate(pairs) for side, sign in zip(pair, (1.0, -1.0))]
     dp = np.concatenate([np.full(len(h), p) for p, h, _ in hits] or [np.empty(0)]).astype(int)
     df = np.concatenate([h for _, h, _ in hits] or [np.empty(0)]).astype(int)
     dv = np.concatenate([np.full(len(h), sign) for _, h, sign in hits] or [np.empty(0)])
-    pull = 2 * penalty / max(1, len(pairs))
+    times = np.array([n for _, _, n in pairs], float)
+    pull = 2 * penalty * times / max(1, times.sum())
     # Row sums bound the curvature of both parts.
     size = np.bincount(doc, minlength=len(docs)) + 1
     curve = 0.25 * max(np.bincount(f, (weight * size)[doc], len(keys)).max(), (weight * size).sum())
     if len(dp):
-        curve += pull * np.bincount(df, np.bincount(dp, minlength=len(pairs))[dp], len(keys)).max()
+        curve += np.bincount(df, (pull * np.bincount(dp, minlength=len(pairs)))[dp], len(keys)).max()
     w, at_w, b, at_b, t = np.zeros(len(keys)), np.zeros(len(keys)), 0.0, 0.0, 1.0
     for _ in range(STEPS):
         error = weight * (_sigmoid(at_b + np.bincount(doc, at_w[f], len(docs))) - toxic)
         grad = np.bincount(f, error[doc], len(keys))
         if len(dp):
-            change = np.bincount(dp, dv * at_w[df], len(pairs))
-            grad += pull * np.bincount(df, dv * change[dp], len(keys))
+            change = pull * np.bincount(dp, dv * at_w[df], len(pairs))
+            grad += np.bincount(df, dv * change[dp], len(keys))
         step = at_w - grad / curve
         new_w, new_b = np.sign(step) * np.maximum(np.abs(step) - L1 / curve, 0), at_b - error.sum() / curve
         new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -199,24 +209,33 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarra
     return Model(keys[keep], w[keep], float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = COUNTERFACTUAL) -> Model:
     spark = docs.sparkSession
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
-    n = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
+    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
-    chosen = {}
-    for label in (0, 1):
-        part = known.filter(F.col("toxic") > 0) if label else known.filter(F.col("toxic") <= 0)
-        chosen |= {r[0]: label for r in part.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()}
-    rows = docs.select("doc_id", "text").mapInArrow(_training_rows(spark.sparkContext.broadcast(chosen)), "toxic int, features array<long>, dropped array<long>").toArrow()
-    own = [np.asarray(x.values, np.int64).view(np.uint64) for x in rows.column("features")]
-    toxic = rows.column("toxic").to_pylist()
-    is_doc = [t is not None for t in toxic]
-    # Partitions arrive in any order; a fixed one keeps sums, and so scores, the same.
-    seen = sorted({(int(t), d.tobytes()) for t, d, k in zip(toxic, own, is_doc) if k})
-    pairs = sorted((d.tobytes(), np.asarray(x.values, np.int64).tobytes()) for d, x, k in zip(own, rows.column("dropped"), is_doc) if not k)
-    u = lambda x: np.frombuffer(x, np.uint64)
-    return train([u(d) for _, d in seen], np.array([t for t, _ in seen], bool), [(u(a), u(b)) for a, b in pairs], share)
+    first = lambda label: known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sample = Kept(docs.select("doc_id", "text").join(F.broadcast(first(0).union(first(1))), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")).distinct(), "sample")
+    sums = sample.df.agg(F.sum("toxic"), F.count("*")).first()
+    t1, t = sums[0] or 0, sums[1]
+    if not 0 < t1 < t:
+        return train(np.empty(0, np.uint64), [], np.empty(0, bool), [], share)
+    counts = sample.df.mapInArrow(_counts, "feature long, n1 long, n long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).withColumn("worth", _evidence(t1, t))
+    best = counts.orderBy(F.desc("worth"), "feature").limit(MAX_FEATURES).select("feature", "worth").toArrow()
+    worth, found = best.column("worth").to_numpy(), best.column("feature").to_numpy().view(np.uint64)
+    least = min(MIN_EVIDENCE, worth.max() / 2) if len(worth) else 0
+    # Identity terms take part however rare they are, but not where no text has them:
+    # the penalty could then raise an unseen term's weight to that of a seen one.
+    terms = np.unique(np.concatenate([_of_text(term) for term in _GROUP])).view(np.int64).tolist()
+    seen = counts.filter(F.col("feature").isin(terms)).select("feature").toArrow().column("feature").to_numpy().view(np.uint64)
+    keys = np.unique(np.concatenate([found[worth > least], seen]))
+    rows = sample.df.mapInArrow(_sample_rows(spark.sparkContext.broadcast(keys)), _KINDS).groupBy("kind", "toxic", "added", "dropped").agg(F.count("*").alias("n")).toArrow().to_pylist()
+    sample.drop()
+    # Rows arrive in any order; a fixed one keeps sums, and so scores, the same.
+    texts = sorted((r["toxic"], r["added"], r["n"]) for r in rows if r["kind"] == 0)
+    pairs = sorted((r["added"], r["dropped"], r["n"]) for r in rows if r["kind"] == 1)
+    own = [np.array(d, np.int64) for _, d, n in texts for _ in range(n)]
+    return train(keys, own, np.array([label for label, _, n in texts for _ in range(n)], bool), pairs, share, penalty)
 
 
 def _score(model):

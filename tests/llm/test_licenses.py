@@ -107,3 +107,68 @@ def test_short_notices_with_an_edit():
                 raw = np.frombuffer(" ".join(["aa", *edited]).encode(), np.uint8)
                 w = L._words(raw, np.array([0, len(raw)]))[0]
                 assert L.matches(index, w, A.prefix_sums(w, 2)), edited
+
+
+def whole_alignment(template, words):
+    """(score, fewest and most matched words, of the best alignments of the template in
+    all of the text), without a band: matches gain 1, edits cost 1."""
+    n = len(words)
+    score, least, most = np.zeros(n + 1, int), np.zeros(n + 1, int), np.zeros(n + 1, int)
+    for t in template:
+        new, lo, hi = np.empty(n + 1, int), np.empty(n + 1, int), np.empty(n + 1, int)
+        new[0], lo[0], hi[0] = score[0] - 1, least[0], most[0]
+        for j in range(1, n + 1):
+            eq = words[j - 1] == t
+            ways = [(score[j - 1] + (1 if eq else -1), least[j - 1] + eq, most[j - 1] + eq), (score[j] - 1, least[j], most[j]), (new[j - 1] - 1, lo[j - 1], hi[j - 1])]
+            new[j] = max(w[0] for w in ways)
+            lo[j], hi[j] = min(w[1] for w in ways if w[0] == new[j]), max(w[2] for w in ways if w[0] == new[j])
+        score, least, most = new, lo, hi
+    best = score.max()
+    at = np.flatnonzero(score == best)
+    return int(best), int(least[at].min()), int(most[at].max())
+
+
+def test_query_rows_equal_whole_alignments(spark, sf):
+    """Matched words and spans of the query's rows are those of a best alignment
+    around them; coverage follows."""
+    texts = {r.doc_id: tokens(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = L.op3_licenses(spark, sf).collect()
+    assert rows
+    for r in rows:
+        around = texts[r.doc_id][max(0, r.first_word - 12) : r.end_word + 12]
+        own = texts[r.doc_id][r.first_word : r.end_word]
+        fits = []
+        for t in L.TEMPLATES[r.license]:
+            if len(tokens(t)) == r.template_words and len(own) < 400:
+                best, _, _ = whole_alignment(tokens(t), around)
+                score, least, most = whole_alignment(tokens(t), own)
+                fits.append(score == best and least <= r.matched_words <= most)
+        assert any(fits) or len(own) >= 400
+        assert r.coverage == r.matched_words / r.template_words >= 0.8
+
+
+def test_edited_notices_are_all_found(spark):
+    """Random edits: whatever a whole alignment puts at the coverage is reported."""
+    r = np.random.default_rng(5)
+    notices = [(n, t) for n, ts in L.NOTICES.items() for t in ts if len(tokens(t)) <= 60]
+    rows, want = [], {}
+    for k in range(150):
+        name, text = notices[k % len(notices)]
+        words = tokens(text)
+        for _ in range(r.integers(0, 1 + len(words) // 5)):
+            at = r.integers(0, len(words) + 1)
+            kind = r.integers(0, 3)
+            words[at : at + int(kind > 0)] = [f"zz{r.integers(9)}"] * int(kind < 2)
+        body = [f"q{x}" for x in r.integers(0, 50, 30)]
+        doc = body + words + body[::-1]
+        score, _, _ = whole_alignment(tokens(text), doc)
+        if score >= 0.8 * len(tokens(text)):
+            want[k] = name
+        rows.append((k, " ".join(doc), "a", "b"))
+    got = {}
+    for x in L.scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(x.doc_id, []).append(x)
+    assert len(want) > 40
+    for k, name in want.items():
+        assert any(x.license == name or x.coverage >= 0.8 for x in got.get(k, [])), rows[k][1]
+    assert sum(any(x.license == n for x in got[k]) for k, n in want.items()) >= 0.95 * len(want)
