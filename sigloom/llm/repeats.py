@@ -45,6 +45,7 @@ NO_ID = -(1 << 63)
 FLUSH = 1 << 17  # contexts that a task holds before it deals them out
 #: The contents of anchors asked for more often than this are dealt out by whole windows.
 BUSY = 20_000
+BROADCAST = 1_000_000  # busy anchors, 16 bytes each
 _PLACE = A.U64((1 << 32) - 1)
 
 ENTRY = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("text", "<i4"), ("start", "<u4"), ("n", "<u2"), ("asked", "u1")])
@@ -296,10 +297,11 @@ def _cut(shape: Shape, shards: int):
 
 def cut(docs: DataFrame, asked: DataFrame, shape: Shape, shards: int, busy: int) -> DataFrame:
     """Step 2: contents and places between, packed by shard."""
-    often = asked.groupBy("anchor").count().filter(F.col("count") > busy).select("anchor", F.lit(True).alias("busy"))
-    flagged = asked.join(often, "anchor", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
-    if often.isEmpty():
-        flagged = asked.withColumn("busy", F.lit(False))
+    often = Kept(asked.groupBy("anchor").count().filter(F.col("count") > busy).select("anchor", F.lit(True).alias("busy")), "busy").df
+    n = often.count()
+    # As a rule a few; joined by a shuffle where they would be too many to send out.
+    flagged = asked.join(F.broadcast(often) if n <= BROADCAST else often, "anchor", "left") if n else asked.withColumn("busy", F.lit(None).cast("boolean"))
+    flagged = flagged.select("k", "t", "at", "anchor", F.col("busy").isNotNull().alias("busy"))
     lists = _spread(flagged, docs).groupBy("k", "t").agg(F.collect_list(F.struct("at", "anchor", "busy")).alias("asks"))
     return _spread(keyed(docs), docs).join(lists, ["k", "t"]).mapInArrow(_cut(shape, shards), "bucket int, kind int, rows int, blob binary")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,12 @@ class Kept:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets go of the shuffle files of finished steps now, not when the driver's
-    memory happens to be collected: they go with the plans that made them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    memory happens to be collected: they go with the plans that made them. The
+    first round frees what Python held, the second the plans behind it."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def input_bytes(df: DataFrame) -> int:
