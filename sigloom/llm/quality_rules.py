@@ -1,5 +1,8 @@
 """Rule-based quality filter: a threshold table compiled into one projection.
 
+The table is compiled into the oracle's SQL as well, from measures written there
+by other means. No rule rejects a text for being long.
+
 Base measures (fixed by the query's contract) and ratio rules are all built-in
 column expressions; no Python runs on the executors and nothing is shuffled.
 
@@ -42,7 +45,6 @@ class Rule:
 
 #: The production table. A rule needs enough words for its ratio to mean anything.
 RULES = (
-    Rule("n_words", high=1_000_000),
     Rule("mean_word_chars", low=2.0, high=14.0, min_words=20),
     Rule("symbol_ratio", high=0.10),
     Rule("symbol_word_ratio", high=0.25),
@@ -162,6 +164,31 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: The rules' measures in the oracle's columns.
+_MEASURES_SQL = {
+    "n_words": "n_words",
+    "mean_word_chars": "word_chars / n_words",
+    "symbol_ratio": "n_symbols / word_chars",
+    "symbol_word_ratio": "n_symbols / n_words",
+    "echo_ratio": "echo / n_words",
+    "stop_word_ratio": "stop / n_words",
+    "dup_line_ratio": "n_dup_lines / lines",
+    "upper_ratio": "upper_chars / word_chars",
+    "exclaim_ratio": "exclaim / n_words",
+    "pipe_line_ratio": "piped / lines",
+}
+
+
+def _rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The table as a condition on base rows (which have 20 words at least)."""
+    out = []
+    for r in rules:
+        m = _MEASURES_SQL[r.measure]
+        bounds = [f"{m} {op} {v!r}" for op, v in ((">=", r.low), ("<=", r.high)) if v is not None]
+        out.append(f"(n_words < {r.min_words} OR ({' AND '.join(bounds)}))")
+    return " AND ".join(out)
+
+
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
 ORACLE = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -189,14 +216,7 @@ m AS (SELECT h.doc_id, CAST(len(w) AS BIGINT) AS n_words,
     FROM h LEFT JOIN r ON h.doc_id = r.doc_id),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed
-    AND n_words <= 1000000
-    AND word_chars / n_words BETWEEN 2.0 AND 14.0
-    AND n_symbols / word_chars <= 0.10 AND n_symbols / n_words <= 0.25
-    AND echo / n_words <= 0.30
-    AND (n_words < 60 OR stop / n_words >= 0.01)
-    AND n_dup_lines / lines <= 0.60 AND upper_chars / word_chars <= 0.60
-    AND exclaim / n_words <= 0.30 AND piped / lines <= 0.80 AS kept
+    NOT base_failed AND {_rules_sql()} AS kept
 FROM b
 """
 
