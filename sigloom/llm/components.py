@@ -30,7 +30,7 @@ def roots(edges: DataFrame, max_rounds: int = 50) -> Kept:
     """(u, v): every node but the smallest of its component, with that smallest.
 
     edges: two columns of one orderable type, in any order and direction; loops
-    and repeats are ignored. An empty table gives an empty one. The caller drops
+    and repeats are ignored, and so are rows with a null. An empty table gives an empty one. The caller drops
     the result's files when it is done with them.
     """
     a, b = (F.col(c) for c in edges.columns[:2])

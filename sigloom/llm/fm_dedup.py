@@ -27,7 +27,7 @@ from sigloom.llm import repeats as R
 from sigloom.llm.fm_index import FMIndex
 
 LENGTH, GRAM = 35, 14
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 600_000
 
 
 def _words_as_items(buf, offs):
@@ -59,23 +59,28 @@ def repeated_windows(length: int):
     later one, the index holds twice or more."""
 
     def decide(shard: list[R.Content]):
-        # What occurs twice or more is in the index twice.
-        copies = [c for c in shard for _ in range(1 if c.lo == c.hi else 2)]
         symbols: dict[bytes, int] = {}
-        number = [[symbols.setdefault(w, len(symbols) + 1) for w in c.items.split(b" ")] for c in copies]
-        sizes = np.array([len(x) for x in number])
-        base = np.concatenate([[0], np.cumsum(sizes + 1)])
+        number = [np.array([symbols.setdefault(w, len(symbols) + 1) for w in c.items.split(b" ")]) for c in shard]
+        # What occurs twice or more is in the index twice, behind the others.
+        copies = [x for x, c in zip(number, shard) if c.lo != c.hi]
+        base = np.concatenate([[0], np.cumsum([len(x) + 1 for x in number + copies])])
         text = np.zeros(base[-1], dtype=np.int64)  # 0 parts the contents
         inside = np.ones(base[-1], dtype=bool)
         inside[base[1:] - 1] = False
-        text[inside] = np.concatenate([np.array(x) for x in number])
-        index = FMIndex(text)
-        ends = np.concatenate([b + length + np.arange(c.n) for b, c in zip(base.tolist(), copies)])
-        twice = np.zeros(len(text) + 1, dtype=bool)
-        twice[ends - length] = index.matching_statistics(np.where(inside, text, -1), ends, length) >= length
-        masks = iter([twice[b : b + c.n] for b, c in zip(base.tolist(), copies)])
-        none = np.zeros(0, dtype=bool)
-        return [(next(masks), none if c.lo == c.hi else next(masks)) for c in shard]
+        text[inside] = np.concatenate(number + copies)
+        index, searched = FMIndex(text), np.where(inside, text, -1)
+        first, n = base[: len(shard)], np.array([c.n for c in shard])
+        # The string that ends with the content: all windows inside it are repeated.
+        end = first + n + length - 1
+        back = end - index.matching_statistics(searched, end, int(n.max()) + length)
+        twice = A.cover(len(text) + 1, np.minimum(back, end - length + 1), end - length + 1)
+        # Where that isn't all of it, each other window by itself; of the last one it
+        # is known.
+        part = (back > first) & (n > 1)
+        ends = np.concatenate([np.empty(0, np.int64), *(np.arange(f, f + m - 1) for f, m in zip(first[part].tolist(), n[part].tolist()))]) + length
+        ends = ends[~twice[ends - length]]
+        twice[ends - length] = index.matching_statistics(searched, ends, length) >= length
+        return [(m, m) for m in (twice[b : b + c.n] for b, c in zip(base.tolist(), shard))]
 
     return decide
 

@@ -20,13 +20,13 @@ class Bits:
     def __init__(self, bits: np.ndarray):
         padded = np.concatenate([bits, np.zeros(-len(bits) % _BLOCK + _BLOCK, dtype=bool)])
         self.words = np.packbits(padded, bitorder="little").view("<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1].astype(np.uint32)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1]
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
         w, k = at >> 6, (at & 63).astype(np.uint64)
         below = self.words[w] & ((np.uint64(1) << k) - np.uint64(1))
-        return self.before[w].astype(np.int64) + np.bitwise_count(below)
+        return self.before[w] + np.bitwise_count(below)
 
 
 class FMIndex:
@@ -50,14 +50,19 @@ class FMIndex:
             self.zeros.append(int(len(bit) - bit.sum()))
             bwt = np.concatenate([bwt[~bit], bwt[bit]])
 
+        # Where each symbol's part of the last level begins.
+        self.begin = self._walk(np.arange(1 << self.depth), np.zeros(1 << self.depth, dtype=np.int64))
+
+    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places followed down the tree by the bits of a symbol."""
+        for level, bits, zeros in zip(range(self.depth - 1, -1, -1), self.levels, self.zeros):
+            ones = bits.rank(at)
+            at = np.where((symbol >> level) & 1 == 1, zeros + ones, at - ones)
+        return at
+
     def _rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs in the transform before each place."""
-        low, high = np.zeros_like(at), at
-        for level, bits, zeros in zip(range(self.depth - 1, -1, -1), self.levels, self.zeros):
-            one = (symbol >> level) & 1 == 1
-            a, b = bits.rank(low), bits.rank(high)
-            low, high = np.where(one, zeros + a, low - a), np.where(one, zeros + b, high - b)
-        return high - low
+        return self._walk(symbol, at) - self.begin[symbol]
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: the intervals of symbol + pattern."""

@@ -270,26 +270,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return sig.df.join(comp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _one_row(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key: the one whose text has the smallest hash, then by its
+    other columns. Partial results are merged before the shuffle."""
+    rest = F.to_json(F.struct(*(F.col(c) for c in df.columns if c.lower() != "text")))
+    first = F.min_by(F.struct(*df.columns), F.struct(F.xxhash64("text"), rest))
+    return df.groupBy(F.col(key).alias("key")).agg(first.alias("row")).select("row.*")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group left: the smallest doc_id, one row of
-    it. Rows without an id stay only where no row of the group has one, and then
-    one row of the group does."""
+    """The documents with one of each group left: the smallest doc_id, one row of it
+    (where it has several texts in the group, the one with the smallest hash). Rows
+    without an id stay only where no row of the group has one, and then one does."""
     sig, comp = groups(docs)
     fp, root, low = fresh(docs, "fp"), fresh(docs, "root"), fresh(docs, "low")
     named = comp.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(low))
     rooted = sig.df.filter("doc_id IS NOT NULL").join(comp, "fp").groupBy("doc_id")
     split = Kept(rooted.agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("doc_id"), "split").df
     winners = comp.filter("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(winners, "doc_id", "left_semi").join(split, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    kept = docs.join(winners, "doc_id", "left_semi").join(split, "doc_id", "left_anti")
+    kept = _one_row(kept, "doc_id")
     if not split.isEmpty():  # ids with texts of several groups, each judged in its own
         marked = fingerprints(docs.join(split, "doc_id", "left_semi").select(docs.columns), docs.columns, fp)
-        own = marked.join(named, fp).filter(F.col("doc_id") == F.col(low)).dropDuplicates([root])
+        own = _one_row(marked.join(named, fp).filter(F.col("doc_id") == F.col(low)), root)
         kept = kept.unionByName(own.drop(fp, root, low))
     if sig.df.filter("doc_id IS NULL").isEmpty():
         return kept
     marked = fingerprints(docs.filter("doc_id IS NULL"), docs.columns, fp)
     alone = comp.filter("component_id IS NULL").select(F.col("fp").alias(fp), F.col("root").alias(root))
-    return kept.unionByName(marked.join(alone, fp).dropDuplicates([root]).drop(fp, root))
+    return kept.unionByName(_one_row(marked.join(alone, fp), root).drop(fp, root))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

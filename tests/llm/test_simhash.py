@@ -132,3 +132,13 @@ def test_keys_of_later_rounds_miss_no_pair():
             diff = sum(1 << b for b in r.sample(free, 3))
             assert any(diff & S.mask_of(d) == 0 for d in S._deeper(number))
             number = r.choice(S._deeper(number))
+
+
+def test_keep_one_is_the_same_in_any_order(spark):
+    """Five rows, of which only text a is there twice; and near copies under one id."""
+    a, b, c, d = ("one two three four five six", "red green blue black white grey", "north south east west up down", "tin iron gold lead zinc silver")
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (6, c, None), (6, d, "w"), (6, d, "v")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        got = sorted(map(tuple, S.keep_one(df).collect()))
+        assert [x[:2] for x in got] == [(1, a), (5, b), (6, c), (6, d)] and (6, d, "v") in got
