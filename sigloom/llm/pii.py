@@ -48,7 +48,7 @@ from sigloom.llm.store import Kept
 ALPHA = 0.9
 MIN_DOCS = 3
 SCREEN_BITS = 22  # slots of a screen, at most
-REMEMBERED = 200_000  # bounds that a reader of a screen keeps by name
+REMEMBERED = 400_000  # bounds that a task keeps by name
 #: Counts that a worker holds before it hands them on.
 FLUSH = 300_000
 #: The patterns of the contract, in the order of kinds.
@@ -229,9 +229,26 @@ def _terms_beside(ents):
 
 
 def _known_terms(terms):
+    """A text's terms that the screen knows, entities' words among them."""
+
     def make():
-        known = terms.value.reader()
-        return lambda text: [t for t in {_term(w) for w in set(WORD.findall(text))} if t and known(t)]
+        known, seen = terms.value.reader(), {}
+
+        def of(text):
+            out = set()
+            # Bytes are parted at the six ASCII blanks, as WORD does.
+            for w in set(text.encode().split()):
+                t = seen.get(w)
+                if t is None:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    t = _term(w.decode())
+                    t = seen[w] = t if t and known(t) else ""
+                if t:
+                    out.add(t)
+            return out
+
+        return of
 
     return make
 
@@ -290,18 +307,18 @@ def _marks_of_texts(found, everywhere: bool):
     entities (null with `everywhere`); the key is the text's."""
 
     def run(batches):
-        known = found.value.reader()
+        known = _known_terms(found)()
         for batch in batches:
             out = {"key": [], "entity": [], "term": []}
             for key, text in zip(batch.column("key").to_pylist(), _texts(batch)):
-                spans = base_spans(text)
+                here = known(text)
+                spans = base_spans(text) if here else []
                 own = [None] if everywhere else {entity(text, s) for s in spans}
-                for t in {t for t, _, _ in words(text, spans)} if own else ():
-                    if known(t):
-                        for e in own:
-                            out["key"].append(key)
-                            out["entity"].append(e)
-                            out["term"].append(t)
+                for t in {t for t, _, _ in words(text, spans)} & here if here and own else ():
+                    for e in own:
+                        out["key"].append(key)
+                        out["entity"].append(e)
+                        out["term"].append(t)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("entity", pa.string()), ("term", pa.string())]))
 
     return run
