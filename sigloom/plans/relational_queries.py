@@ -11,7 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sigloom.operators import slices
+from sigloom.operators import blocks, slices
 from sigloom.operators import tables as O
 from sigloom.plans.catalog import register
 from sigloom.sources.tables import table
@@ -47,10 +47,19 @@ _sql("join_anti", "SELECT o_orderkey FROM {orders} LEFT ANTI JOIN {lineitem} ON
      "SELECT o_orderkey FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
 _sql("join_theta", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal")
 # Strategies: the hint decides, the rows are the same.
-for _hint in ("MERGE", "SHUFFLE_HASH", "BROADCAST", "SHUFFLE_REPLICATE_NL"):
-    _small = "WHERE o_orderkey % 50 = 0" if _hint == "SHUFFLE_REPLICATE_NL" else ""
-    _sql(f"join_hint_{_hint.lower()}", f"SELECT /*+ {_hint}(c) */ o.o_orderkey, c.c_name FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey {_small}",
-         f"SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey {_small}")
+for _hint in ("MERGE", "SHUFFLE_HASH", "BROADCAST"):
+    _sql(f"join_hint_{_hint.lower()}", f"SELECT /*+ {_hint}(c) */ o.o_orderkey, c.c_name FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey ",
+         "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey ")
+
+
+@register("join_hint_shuffle_replicate_nl", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_orderkey % 50 = 0")
+def join_hint_shuffle_replicate_nl(spark, sf_dir):
+    """The hint on blocks of rows: on rows the loop would take all pairs."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select("o_orderkey", "o_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return blocks.replicate_join(orders, customers, "o_custkey", "c_custkey").select("o_orderkey", "c_name")
+
+
 _sql("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 
 # Aggregation
