@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sigloom.plans import package, reports
 from sigloom.plans import signal_queries as Q
 from sigloom.plans.catalog import register
-from sigloom.sources import formats
+from sigloom.sources import embedded, formats
 from sigloom.sources.scratch import fresh_dir
 from sigloom.sources.tables import read_result, table, write_result
 
@@ -93,13 +93,11 @@ def source_text(spark, sf_dir):
 
 @register("source_jdbc", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 500")
 def source_jdbc(spark, sf_dir):
-    """Through an embedded database in memory, read back in four ranges; it lives
-    in one process, so this query wants a local master."""
-    url, driver = f"jdbc:derby:memory:{fresh_dir(spark, 'db').rsplit('/', 1)[-1]};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    """Through an embedded database, read back by the executors in four ranges."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    formats.write_jdbc(customers, url, "customer", driver)
-    last = customers.agg(F.max("c_custkey")).first()[0]
-    return formats.read_jdbc(spark, url, "customer", driver, "c_custkey", 0, last, 4).filter("c_acctbal > 500")
+    url = embedded.write_embedded(customers, "customer")
+    low, high = customers.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    return formats.read_jdbc(spark, url, "customer", embedded.DRIVER, "c_custkey", low or 0, high or 0, 4).filter("c_acctbal > 500")
 
 
 _STATISTICS = f"SELECT key, state, count(*) AS n_days FROM ({Q._STATE}) GROUP BY key, state"
