@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.llm import arrays as A
 from sigloom.llm.names import fresh
 from sigloom.llm.store import Kept
 
@@ -155,6 +156,7 @@ def _counted(of, *names: str):
         keys = zip(*n) if len(names) > 1 and n else [list(n)] * len(names)
         return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), pa.array(list(n.values()), pa.int64())], schema=schema)
 
+    @A.giving_back
     def run(batches):
         count = of()
         for batch in batches:
@@ -306,6 +308,7 @@ def _marks_of_texts(found, everywhere: bool):
     """(key, entity, term) of the terms that may be marked in each text, with its
     entities (null with `everywhere`); the key is the text's."""
 
+    @A.giving_back
     def run(batches):
         known = _known_terms(found)()
         for batch in batches:
@@ -361,6 +364,7 @@ def _line(spans) -> str:
     return ",".join(f"{_NAMES[k]}:{s}:{e}" for s, k, e in spans)
 
 
+@A.giving_back
 def _report(batches):
     for batch in batches:
         out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
@@ -392,6 +396,7 @@ def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def _rewrite(names: list[str], own: str):
+    @A.giving_back
     def run(batches):
         for batch in batches:
             texts = []

@@ -105,6 +105,7 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _with_fingerprint(names: list[str], own: str):
     """The named columns of each row and its fingerprint as `own`."""
 
+    @A.giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = []
@@ -147,6 +148,7 @@ def _most(number: int, bucket: int) -> int:
     return bucket if mask_of(number).bit_count() < 64 - FEW else max(bucket, 1 << FEW)
 
 
+@A.giving_back
 def _bucket_links(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
     """Rows (k, part, fp) sorted by (k, part): links (fp, other) of each bucket; of
     a bucket above the size, its rows themselves. The key's number is k modulo the
