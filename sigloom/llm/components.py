@@ -2,8 +2,9 @@
 
 Both star steps are a grouped minimum (pre-aggregated map-side) and a join back
 on the node, which adaptive execution may split for hubs. Each round is written
-to the shared folder, so a lost executor costs one round at most. Nothing is
-collected but two numbers a round.
+to the shared folder, so a lost executor costs one round at most, in as many files
+as its size asks for: no star step adds edges. Nothing is collected but two numbers
+a round.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.store import Kept
+from sigloom.llm.store import Kept, files_for
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -34,13 +35,13 @@ def roots(edges: DataFrame, max_rounds: int = 50) -> Kept:
     the result's files when it is done with them.
     """
     a, b = (F.col(c) for c in edges.columns[:2])
-    now = Kept(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    now = Kept(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().coalesce(files_for(edges)), "edges")
     seen = None
     for _ in range(max_rounds):
         mark = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             return now
         seen, before = mark, now
-        now = Kept(_small_star(_large_star(before.df)), "edges")
+        now = Kept(_small_star(_large_star(before.df)).coalesce(files_for(before.df)), "edges")
         before.drop()
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

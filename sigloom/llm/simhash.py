@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from sigloom.llm import arrays as A
 from sigloom.llm.components import roots
 from sigloom.llm.names import fresh
-from sigloom.llm.store import Kept, partitions_for
+from sigloom.llm.store import Kept, files_for, partitions_for
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 BUCKET = 2048
@@ -231,8 +231,10 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def link_table(fps: DataFrame, bucket: int = BUCKET) -> Kept:
-    """links(), written, with the buckets above the size dealt out by more bits."""
-    table = Kept(links(fps, bucket), "links")
+    """links(), written, with the buckets above the size dealt out by more bits. What
+    the tasks find is little: it goes in a file for each MB of fingerprints."""
+    n = files_for(fps, 1 << 20)
+    table = Kept(links(fps, bucket).repartition(n), "links")
     left, done = table, [table]
     while True:
         hot = left.df.filter("b IS NULL").select("k", "part", F.col("a").alias("fp"))
@@ -243,7 +245,7 @@ def link_table(fps: DataFrame, bucket: int = BUCKET) -> Kept:
         deeper = {n: [(m, _signed(mask_of(m))) for m in _deeper(n)] for n in numbers}
         pick = F.create_map(*(x for n, to in deeper.items() for x in (F.lit(n), F.array(*(F.struct(F.lit(m).alias("k"), F.lit(mask).alias("mask")) for m, mask in to)))))
         dealt = hot.select("fp", F.explode(F.element_at(pick, F.col("k"))).alias("to")).select("fp", F.col("to.k").alias("k"), F.col("fp").bitwiseAND(F.col("to.mask")).alias("part")).distinct()
-        left = Kept(_linked(dealt, bucket), "links")
+        left = Kept(_linked(dealt, bucket).repartition(max(n, files_for(hot))), "links")
         done.append(left)
     if len(done) == 1:
         return table

@@ -48,3 +48,10 @@ def partitions_for(df: DataFrame, per_partition: int = 16 << 20) -> int:
     size = input_bytes(df)
     # In-memory rows have no estimate; Spark then reports a huge number.
     return conf if size >= 1 << 60 else max(conf, -(-size // per_partition))
+
+
+def files_for(df: DataFrame, per_file: int = 4 << 20) -> int:
+    """Files for a result that is no larger than df, at most its shuffle partitions.
+    Each file costs a task, and on a local file system processes that Hadoop starts
+    to set its permissions."""
+    return min(max(1, -(-input_bytes(df) // per_file)), partitions_for(df))

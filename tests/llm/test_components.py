@@ -3,6 +3,7 @@
 import random
 
 from sigloom.llm.components import roots
+from sigloom.llm.store import Kept, files_for, input_bytes, partitions_for
 
 
 def truth(edges):
@@ -35,3 +36,32 @@ def test_random_graphs_chains_and_hubs(spark):
 def test_no_edges(spark):
     assert roots(spark.createDataFrame([], "a long, b long")).df.count() == 0
     assert roots(spark.createDataFrame([(4, 4)], "a long, b long")).df.count() == 0
+
+
+def test_files_follow_the_size_and_not_the_partitions(spark):
+    """60 edges need no file for each of 16 shuffle partitions."""
+    hold = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in hold}
+    edges = [(3 * i, 3 * i + 1 + i % 2) for i in range(60)]
+    given = Kept(spark.createDataFrame(edges, "x long, y long"), "given")
+    try:
+        for k, v in hold.items():
+            spark.conf.set(k, v)
+        got = roots(given.df)
+        assert len(got.df.inputFiles()) == 1
+        assert {x.u: x.v for x in got.df.collect()} == truth(edges)
+    finally:
+        given.drop()
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_larger_tables_get_more_files(spark):
+    given = Kept(spark.range(100_000).selectExpr("xxhash64(id) x", "xxhash64(id + 1) y"), "given")
+    size = input_bytes(given.df)
+    assert files_for(given.df) == 1
+    assert files_for(given.df, size // 3 + 1) == 3
+    assert files_for(given.df, 1000) == partitions_for(given.df)
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1, 2)]), "a long, b long")
+    assert files_for(unknown) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    given.drop()

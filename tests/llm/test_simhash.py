@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from sigloom.llm import simhash as S
+from sigloom.llm.store import Kept
 
 SCHEMA = "doc_id long, text string, fp string, component_id long"
 
@@ -142,3 +143,21 @@ def test_keep_one_is_the_same_in_any_order(spark):
         df = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
         got = sorted(map(tuple, S.keep_one(df).collect()))
         assert [x[:2] for x in got] == [(1, a), (5, b), (6, c), (6, d)] and (6, d, "v") in got
+
+
+@pytest.mark.parametrize("bucket", [4, 2048])
+def test_links_are_few_files(spark, bucket):
+    """200 fingerprints need no file for each of 16 tasks that compare them."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    fps = spark.range(100).selectExpr("explode(array(xxhash64(id), xxhash64(id) ^ 5)) fp")
+    kept = Kept(fps, "given")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        table = S.link_table(kept.df, bucket)
+        assert len(table.df.inputFiles()) == 1
+        linked = {frozenset(r) for r in table.df.filter("b IS NOT NULL").select("a", "b").collect()}
+        assert linked == {frozenset((r.x, r.x ^ 5)) for r in spark.range(100).selectExpr("xxhash64(id) x").collect()}
+        table.drop()
+    finally:
+        kept.drop()
+        spark.conf.set("spark.sql.shuffle.partitions", old)
