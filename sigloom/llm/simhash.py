@@ -265,7 +265,9 @@ def groups(docs: DataFrame) -> tuple[Kept, DataFrame]:
     found.drop()
     rooted = fps.join(star.df.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "low", F.coalesce("v", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return sig, rooted.join(lowest, "root").select("fp", "root", "component_id")
+    # Dealt by root here, so that a join on fp deals both sides anew: only then does
+    # adaptive execution split the rows of a much copied text.
+    return sig, rooted.join(lowest.hint("merge"), "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -161,3 +161,19 @@ def test_links_are_few_files(spark, bucket):
     finally:
         kept.drop()
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_a_join_with_groups_deals_both_sides(spark):
+    """However small the groups are: a side that stays as it was dealt can't be split."""
+    docs = spark.createDataFrame([(k, f"a b c {k % 7}") for k in range(40)], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    sig, comp = S.groups(docs)
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = sig.df.hint("merge").join(comp, "fp")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+        sig.drop()
+    joins = [line for line in plan.splitlines() if "SortMergeJoin [fp#" in line and "Inner" in line]
+    assert len(joins) == 1
+    assert "SortMergeJoin [root#" in plan
