@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from sigloom.plans import catalog
@@ -30,6 +31,18 @@ def test_loop_meets_blocks_not_rows(spark, tmp_path):
     assert {(r.o_orderkey, r.c_name) for r in df.collect()} == {(k * 50, f"c{k % 2000}") for k in range(3000)}
 
 
+def test_every_order_is_read(spark, tmp_path):
+    spark.range(1, 400).selectExpr("nullif(id, 7) AS o_orderkey", "nullif(id % 60, 3) AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(50).selectExpr("id AS c_custkey", "concat('c', id) AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.queries()[QUERY](spark, str(tmp_path)).collect()
+    want = Counter((None if k == 7 else k, f"c{k % 60}") for k in range(1, 400) if k % 60 < 50 and k % 60 != 3)
+    assert Counter((r.o_orderkey, r.c_name) for r in got) == want
+    con = duckdb.connect()
+    for name in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert Counter(con.execute(catalog.oracle_sql()[QUERY]).fetchall()) == want
+
+
 def test_null_hot_and_repeated_keys(spark):
     from sigloom.operators.blocks import replicate_join
 
